@@ -6,7 +6,8 @@ same words form one class, of which the smallest doc_id stands for the rest. 128
 taken of each; 20 bands of 5 values give candidates (a pair at 0.8 meets with probability 0.9996).
 A candidate's values are compared 16 at a time; after m equal ones of n the similarity has the
 posterior Beta(m+1, n-m+1) under a flat prior, and the pair is dropped as soon as the probability of
-reaching the threshold falls below ``tolerance``. The rest are verified on the shingles themselves.
+reaching the threshold falls below ``tolerance``. The rest are verified on the whole shingle sets, held as
+64-bit fingerprints.
 Distances 1 - J obey the triangle inequality, by which cover.py spares the pairs inside large groups.
 
 Edge cases: null, empty and white-space texts have no shingles and link with nothing; rows repeating a
@@ -24,10 +25,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType
 
 from .common import materialize, small
-from .cover import Metric, links
+from .cover import MARGIN, Metric, links
 
 SHINGLE = 5
 VALUES = 128
@@ -52,17 +53,25 @@ def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def signature(words: list[str]) -> np.ndarray | None:
-    """MinHash values of a non-empty list of words."""
-    if not words:
-        return None
-    place, a, b, _ = _family()
+def fingerprints(words: list[str]) -> np.ndarray:
+    """64-bit fingerprints of the shingles of a non-empty list of words, in order."""
+    place = _family()[0]
     w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     if len(w) < SHINGLE:
         h = np.array([(w * place[: len(w)]).sum(dtype=np.uint64) + np.uint64(len(w))], np.uint64)
     else:
         h = sum((w[j : len(w) - SHINGLE + 1 + j] * place[j] for j in range(SHINGLE)), np.uint64(0))
-    x = (_mix(h) >> np.uint64(32)).astype(np.uint32)
+    return _mix(h)
+
+
+def signature(words: list[str]) -> np.ndarray:
+    """MinHash values of a non-empty list of words."""
+    return minhash(fingerprints(words))
+
+
+def minhash(prints: np.ndarray) -> np.ndarray:
+    _, a, b, _ = _family()
+    x = (prints >> np.uint64(32)).astype(np.uint32)
     out = np.full(VALUES, 2**32 - 1, np.uint32)
     for at in range(0, len(x), 1024):
         np.minimum(out, (x[at : at + 1024, None] * a + b).min(axis=0), out=out)
@@ -115,45 +124,93 @@ def may_reach(a: bytes, b: bytes, threshold: float, tolerance: float) -> bool:
     return all(equal[: (k + 1) * STEP].sum() >= least for k, least in enumerate(least_equal(threshold, tolerance)))
 
 
-def shingles(text: str) -> set:
-    w = words_of(text)
-    return {tuple(w)} if len(w) < SHINGLE else set(zip(*(w[j:] for j in range(SHINGLE)), strict=False))
-
-
-def similarity(a: set, b: set) -> float:
-    if not a or not b:
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two arrays of distinct fingerprints."""
+    if not len(a) or not len(b):
         return 0.0
-    common = len(a & b)
+    common = len(np.intersect1d(a, b, assume_unique=True))
     return common / (len(a) + len(b) - common)
 
 
-def _similarities(a: pd.Series, b: pd.Series):
-    cached: dict[str, set] = {}
-
-    def of(text: str) -> set:
-        if text not in cached:
-            if len(cached) > 32:
-                cached.clear()
-            cached[text] = shingles(text)
-        return cached[text]
-
-    return [similarity(of(x), of(y)) for x, y in zip(a, b, strict=True)]
+@F.pandas_udf(ArrayType(LongType()))
+def fingerprint_sets(text: pd.Series) -> pd.Series:
+    return pd.Series([np.unique(fingerprints(words_of(t))).view(np.int64) for t in text])
 
 
 @F.pandas_udf(DoubleType())
 def jaccard_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return 1 - pd.Series(_similarities(a, b), dtype="float64")
+    return pd.Series([1 - similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
 def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(_similarities(a, b), dtype="float64")
+    return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def keys_of(prints: pd.Series) -> pd.Series:
+    return pd.Series([band_keys(minhash(p.astype(np.int64).view(np.uint64))[None])[0] for p in prints])
+
+
+def block_linker(threshold: float):
+    """Links between the items of two blocks: by the triangle inequality where it decides, else by their shingles."""
+    limit = 1 - threshold
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                same = batch.column(2)[row].as_py()
+                parts = []
+                for c in (0, 1):
+                    items = batch.column(c)[row].values
+                    parts.append((items.field("id").to_numpy(), items.field("r").to_numpy(), items.field("weight").to_numpy(), [f.values.to_numpy() for f in items.field("feat")]))
+                (ia, ra, wa, fa), (ib, rb, wb, fb) = parts
+                total = ra[:, None] + rb[None, :]
+                link = total <= limit - MARGIN
+                for x, y in np.argwhere(~link & (np.abs(ra[:, None] - rb[None, :]) <= limit + MARGIN)):
+                    small, large = sorted((len(fa[x]), len(fb[y])))
+                    if (not same or x < y) and small >= threshold * large:
+                        link[x, y] = similarity(fa[x], fb[y]) >= threshold
+                if same:
+                    link = np.triu(link, 1)
+                    link |= link.T
+                counts = {}
+                for i, w in zip(ia, link @ wb, strict=True):
+                    counts[i] = counts.get(i, 0) + w
+                if not same:
+                    for j, w in zip(ib, wa @ link, strict=True):
+                        counts[j] = counts.get(j, 0) + w
+                root = {}
+
+                def find(v, root=root):
+                    while (up := root.setdefault(v, v)) != v:
+                        root[v] = root[up]
+                        v = root[v]
+                    return v
+
+                edges = []
+                for x, y in np.argwhere(link):
+                    a, b = find(ia[x]), find(ib[y])
+                    if a != b:
+                        root[a] = b
+                        edges.append((ia[x], ib[y]))
+                counts = [(i, w) for i, w in counts.items() if w]
+                yield pa.RecordBatch.from_arrays([pa.array([*(i for i, _ in counts), *(i for i, _ in edges)], pa.int64()), pa.array([*(w for _, w in counts), *([None] * len(edges))], pa.int64()), pa.array([*([None] * len(counts)), *(j for _, j in edges)], pa.int64())], names=["i", "w", "j"])
+
+    return run
+
+
+def majority(rest: DataFrame) -> DataFrame:
+    """The shingles that more than half the items of a centre have, for centres with three items or more."""
+    size = rest.groupBy("centre").agg(F.count("*").alias("n")).where("n > 2")
+    each = rest.select("centre", F.explode("feat").alias("s")).groupBy("centre", "s").agg(F.count("*").alias("c"))
+    return each.join(size, "centre").where("2 * c > n").groupBy("centre").agg(F.collect_list("s").alias("feat"), F.first("n").alias("n"))
 
 
 def pruner(tolerance: float):
     @F.pandas_udf(BooleanType())
     def keep(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([may_reach(x, y, z, tolerance) for x, y, z in zip(a, b, t, strict=True)], dtype=bool)
+        return pd.Series([x is None or y is None or may_reach(x, y, z, tolerance) for x, y, z in zip(a, b, t, strict=True)], dtype=bool)
 
     return keep
 
@@ -177,15 +234,15 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def prune(pairs: DataFrame) -> DataFrame:
         least = F.greatest(F.lit(0.02), F.floor((1 - limit - F.col("ra") - F.col("rb")) * 50) / 50)
         a, b = (sig.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-        both = pairs.join(a, "a").join(b, "b")
+        both = pairs.join(a, "a", "left").join(b, "b", "left")
         return both.where(keep(F.col("sig_a"), F.col("sig_b"), least)).drop("sig_a", "sig_b")
 
     def texts(ids: DataFrame) -> DataFrame:
         wanted = small(items.select("id", "rep", "d2").join(ids, "id"))
         held = base.join(wanted.select(F.col("rep").alias("id"), F.col("id").alias("d1"), "d2"), "id")
-        return held.where(same_words(F.col("text"), F.col("d1"), F.col("d2"))).groupBy(F.col("d1").alias("id")).agg(F.max("text").alias("feat"))
+        return held.where(same_words(F.col("text"), F.col("d1"), F.col("d2"))).groupBy(F.col("d1").alias("id")).agg(F.max("text").alias("text")).select("id", fingerprint_sets("text").alias("feat"))
 
-    metric = Metric(jaccard_distance, lambda a, b: jaccard(a, b) >= threshold, limit, prune)
+    metric = Metric(jaccard_distance, lambda a, b: jaccard(a, b) >= threshold, limit, prune, consensus=majority, centre_keys=keys_of, block=block_linker(threshold))
     found = links(items.select("id", F.explode("keys").alias("key")), texts, items.select("id", "weight"), metric, votes)
     named = found.join(items.select("id", "rep"), "id")
     # components are named by digests until here; their name is the smallest doc_id
