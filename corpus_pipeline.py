@@ -1,8 +1,76 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences, each stage one operator of loomwright.llm.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the
+next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomwright.llm import jaccard_join, language_id, mixing, packing, pii
+from loomwright.llm.common import materialize, shared_dir
+from loomwright.llm.queries import vocabulary
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Languages, learned models and vocabularies make these stages inexpressible in SQL.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told (`und`) go; a missing lang is filled in by the prediction."""
+    model = language_id.train(docs.where(~language_id.held_out()))
+    told = language_id.predict(docs.withColumn("_text", F.col("text")), model, extra=("_text", "lang", "source", "n_chars"))
+    kept = told.where(F.col("lang_pred") != language_id.UND)
+    return kept.select("doc_id", F.col("_text").alias("text"), F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays; repeated rows of an id too go to one."""
+    groups = jaccard_join.near_documents(docs)
+    gone = groups.where(F.col("class_id") != F.col("doc_id")).select("doc_id")
+    return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data is replaced by its kind in brackets; all documents stay."""
+    clean = pii.find(docs, pii.learn(docs), redacting=True, extra=("lang", "source", "n_chars"))
+    text = F.col("redacted")
+    return clean.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; the last copy of a document that is taken in part is cut after its words."""
+    docs = docs.select(*COLUMNS)
+    taken = mixing.copies(mixing.mix(docs))
+    h = F.xxhash64(F.lit(17), F.col("doc_id"), F.col("text"))
+    # rows that are equal in id and text share a hash: one row stands for them, their copies are joined to it
+    once = docs.withColumn("h", h).dropDuplicates(["h"])
+    each = once.join(taken.select("h", "words", "shard", "place"), "h")
+    size = mixing.word_count(F.col("text"))
+    each = each.withColumn("size", size)
+    whole = each.where("words = size")
+    cut = each.where("words < size")
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + mixing.WORD), F.lit(0))
+    part = cut.withColumn("text", F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")).withColumn("n_chars", F.length("text").cast("long"))
+    return whole.select(*COLUMNS).union(part.select(*COLUMNS))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [("language_id", language), ("ngram_jaccard_join", near_copies), ("pii", personal_data), ("mixing", mixture), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base = f"{shared_dir(spark)}/lw-pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
+    return docs

@@ -38,34 +38,22 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def mixed(*cols) -> F.Column:
-    """A 64-bit hash of the columns, the same in every run."""
-    return F.xxhash64(*cols)
+def running(df: DataFrame, key: str, uid: str, name: str, value: str | None = None, per: int = 4096) -> DataFrame:
+    """Add ``name``: the sum of ``value`` (null: a count) over the rows of the same ``key`` that come before a row.
 
-
-def spread(total: int, per: int = 4096) -> int:
-    """How many hash blocks of about ``per`` rows ``total`` rows make."""
-    return max(1, -(-total // per))
-
-
-def ranked(df: DataFrame, key: str, salt_of: str, rank: str, per: int = 4096) -> DataFrame:
-    """Add ``rank``: 0, 1, ... within each value of the integer ``key``.
-
-    Rows of a key are dealt into hash blocks of ``salt_of``; blocks get offsets from their
-    counts, and only rows of one block are ranked together, so a hot key is never in one task.
-    ``df`` must be a written table. Ties (equal rows) get the ranks in any order.
+    Rows of a key are dealt into hash blocks of the unique ``uid``, the blocks get offsets from their
+    sums, and only rows of one block are ordered together, so a hot key is never in one task. ``df`` must
+    be a written table, of which ``uid`` is part, and ``key`` an integer of few values.
     """
+    step = F.lit(1) if value is None else F.col(value)
     counts = df.groupBy(key).agg(F.count("*").alias("_n"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("_n") / per)).cast("long")
-    keyed = df.join(small(counts), key).withColumn("_b", F.pmod(mixed(F.lit(11), F.col(salt_of)), blocks)).drop("_n")
-    # copies of one id share a hash, so the block is taken from the id and then split by the row's place in its task
-    sizes = keyed.groupBy(key, "_b").agg(F.count("*").alias("_c"))
-    # the blocks of a key are summed up in two steps, so this window has few rows even for a hot key
-    group = F.floor(F.col("_b") / 1024)
-    outer = sizes.groupBy(key, group.alias("_g")).agg(F.sum("_c").alias("_s"))
+    keyed = df.join(small(counts), key).withColumn("_b", F.pmod(F.xxhash64(F.lit(11), F.col(uid)), blocks)).drop("_n")
+    sums = keyed.groupBy(key, "_b").agg(F.sum(step).alias("_c")).withColumn("_g", F.floor(F.col("_b") / 1024))
+    # the blocks of a key are summed up in two steps, so no window has many rows
+    outer = sums.groupBy(key, "_g").agg(F.sum("_c").alias("_s"))
     outer = outer.withColumn("_o", F.sum("_s").over(Window.partitionBy(key).orderBy("_g")) - F.col("_s"))
-    inner = sizes.withColumn("_g", group)
-    inner = inner.withColumn("_i", F.sum("_c").over(Window.partitionBy(key, "_g").orderBy("_b")) - F.col("_c"))
-    offsets = inner.join(outer.select(key, "_g", "_o"), [key, "_g"]).select(key, "_b", (F.col("_i") + F.col("_o")).alias("_at"))
-    place = F.row_number().over(Window.partitionBy(key, "_b").orderBy(salt_of)) - 1
-    return keyed.join(offsets, [key, "_b"]).withColumn(rank, (F.col("_at") + place).cast("long")).drop("_b", "_at")
+    inner = sums.withColumn("_i", F.sum("_c").over(Window.partitionBy(key, "_g").orderBy("_b")) - F.col("_c"))
+    offsets = small(inner.join(outer.select(key, "_g", "_o"), [key, "_g"]).select(key, "_b", (F.col("_i") + F.col("_o")).alias("_at")))
+    before = F.sum(step).over(Window.partitionBy(key, "_b").orderBy(uid).rowsBetween(Window.unboundedPreceding, 0)) - step
+    return keyed.withColumn("_w", before).join(offsets, [key, "_b"]).withColumn(name, (F.col("_at") + F.col("_w")).cast("long")).drop("_b", "_at", "_w")
