@@ -4,8 +4,8 @@ Base spans come from four fixed patterns (email, ip, card, phone), leftmost and
 a match that fails its check is dropped and not retried. So numbers that stand next to each other, or
 written-out addresses, are lost to them. Looser proposals find such candidates, and labelers vote on each
 (1 personal, -1 not, 0 abstains): strict format, checksum or structure, gazetteer (issuers, top-level
-domains, reserved nets, country codes), words before the span, its borders, and overlap with base spans
-of other kinds. Expectation-maximisation over the counts of all vote patterns estimates how reliable each
+domains, reserved nets, country codes), words before the span, its borders, and overlap with longer
+proposals of other kinds. Expectation-maximisation over the counts of all vote patterns estimates how reliable each
 labeler is on each kind, and the posteriors of the patterns train a logistic span classifier on kind,
 votes and their products; candidates with a probability of at least ``threshold`` become spans.
 
@@ -114,7 +114,7 @@ def _proposals(text: str):
                 yield kind, m.start(), m.end()
 
 
-def _votes(text: str, kind: str, a: int, b: int, base: list[tuple[str, int, int]]) -> tuple[int, ...]:
+def _votes(text: str, kind: str, a: int, b: int, others: list[tuple[str, int, int]]) -> tuple[int, ...]:
     span = text[a:b]
     digits = _NOT_DIGIT.sub("", span)
     if kind == "email":
@@ -141,14 +141,14 @@ def _votes(text: str, kind: str, a: int, b: int, base: list[tuple[str, int, int]
     context = 1 if good.search(before) else -1 if bad.search(before) else 0
     left, right = text[a - 1 : a], text[b : b + 1]
     border = 1 if (not left or left.isspace() or left in "\"'(<[:,;") and (not right or right.isspace() or right in "\"')>].,;:!?") else -1
-    overlap = -1 if any(k != kind and s < b and a < e for k, s, e in base) else 0
+    overlap = -1 if any(k != kind and s < b and a < e and e - s > b - a for k, s, e in others) else 0
     return form, structure, gazetteer, context, border, overlap
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, tuple[int, ...]]]:
-    """Proposals that no base span of their kind overlaps, with the labelers' votes."""
-    own = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
-    return [(k, a, b, _votes(text, k, a, b, base)) for k, a, b in _proposals(text) if not any(s < b and a < e for s, e in own[k])]
+    """Proposals that no base span overlaps, with the labelers' votes."""
+    free = [c for c in _proposals(text) if not any(s < c[2] and c[1] < e for _, s, e in base)]
+    return [(k, a, b, _votes(text, k, a, b, free)) for k, a, b in free]
 
 
 @dataclass(frozen=True)
