@@ -111,7 +111,16 @@ def _proposals(text: str):
     if _DIGIT.search(text):
         for kind, pattern in (("ip", _P_IP), ("card", _P_CARD), ("phone", _P_PHONE)):
             for m in pattern.finditer(text):
-                yield kind, m.start(), m.end()
+                if _possible(kind, m[0]):
+                    yield kind, m.start(), m.end()
+
+
+def _possible(kind: str, span: str) -> bool:
+    """What is none for certain: a card that fails its checksum, an address part above 255, a number of another length."""
+    if kind == "ip":
+        return all(int(p) <= 255 for p in span.split("."))
+    digits = _NOT_DIGIT.sub("", span)
+    return luhn(digits) if kind == "card" else 10 <= len(digits) <= 15
 
 
 def _votes(text: str, kind: str, a: int, b: int, others: list[tuple[str, int, int]]) -> tuple[int, ...]:
@@ -126,15 +135,15 @@ def _votes(text: str, kind: str, a: int, b: int, others: list[tuple[str, int, in
     elif kind == "ip":
         parts = [int(p) for p in span.split(".")]
         form = 1 if all(p == str(int(p)) for p in span.split(".")) else -1
-        structure = 1 if max(parts) <= 255 else -1
+        structure = 1 if len(set(parts)) > 1 else -1
         gazetteer = -1 if _RESERVED.match(span) else 1 if max(parts) > 20 else 0
     elif kind == "card":
         form = 1 if 13 <= len(digits) <= 19 and len(set(digits)) > 2 else -1
-        structure = 1 if luhn(digits) else -1
+        structure = 1 if len(digits) in (15, 16) else -1 if len(digits) in (17, 18) else 0
         gazetteer = 1 if _ISSUERS.match(digits) else -1
     else:
         form = 1 if re.search(r"[+(]", span) else -1 if span.isdigit() else 0
-        structure = 1 if 10 <= len(digits) <= 15 else -1
+        structure = 1 if len(digits) in (10, 11, 12) else -1
         gazetteer = 1 if span.startswith("+") or re.fullmatch(r"\(?[2-9][0-9]{2}\)?[\x20.-]?[2-9][0-9]{2}[\x20.-]?[0-9]{4}", span) else 0
     before = text[max(0, a - 40) : a]
     good, bad = _WORDS[kind]
