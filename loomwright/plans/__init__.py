@@ -1,9 +1,5 @@
 """Queries built from the operators, with the SQL that DuckDB holds them against."""
 
+from .registry import flagship, oracle_sql, queries
 
-def queries():
-    return {}
-
-
-def oracle_sql():
-    return {}
+__all__ = ["flagship", "oracle_sql", "queries"]
