@@ -125,21 +125,22 @@ def links(keys: DataFrame, feats: Callable[[DataFrame], DataFrame], weights: Dat
     sizes = materialize(weighted.groupBy("ball").agg(F.max("r").alias("radius"), F.sum("weight").alias("total"), F.min("id").alias("first"), F.count("*").alias("n")), "sizes")
     radius = sizes.select("ball", "radius")
     at = met.select("id", "key").join(balls.select("id", "ball"), "id").select("key", "ball").distinct()
-    several = at.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    if inside is not None:
+        # pairs inside a family are counted already: only keys of several families, and pairs across them, are left
+        of = family.select(F.col("id").alias("ball"), "fam").union(made.select("id", "id"))
+        at = at.join(of, "ball", "left").select("key", "ball", F.coalesce("fam", "ball").alias("side"))
+    else:
+        at = at.withColumn("side", F.col("ball"))
+    several = at.groupBy("key").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo < hi").select("key")
     at = at.join(several, "key").join(radius, "ball")
     if metric.carried:
         at = at.join(met.select(F.col("id").alias("ball"), *metric.carried).distinct(), "ball")
     at = materialize(at, "at")
     left, right = (at.select("key", *(F.col(c).alias(f"{x}_{c}") for c in at.columns if c != "key")) for x in "ab")
-    pairs = left.join(right, "key").where("a_ball < b_ball")
+    pairs = left.join(right, "key").where("a_ball < b_ball and a_side <> b_side")
     if metric.key_test is not None:
         pairs = pairs.where(metric.key_test("a", "b"))
     pairs = pairs.select(F.col("a_ball").alias("a"), F.col("b_ball").alias("b"), F.col("a_radius").alias("ra"), F.col("b_radius").alias("rb")).distinct()
-    if inside is not None:
-        # pairs inside a family are counted already
-        of = family.select("id", "fam").union(made.select("id", F.col("id").alias("fam")))
-        pairs = pairs.join(of.select(F.col("id").alias("a"), F.col("fam").alias("fam_a")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("fam").alias("fam_b")), "b", "left")
-        pairs = pairs.where("fam_a is null or fam_b is null or fam_a <> fam_b").drop("fam_a", "fam_b")
     pairs = metric.prune(pairs)
     pairs = _attach(_attach(pairs, "a", have, "fa"), "b", have, "fb")
     seen = pairs.select("a", "b", "ra", "rb", metric.distance(F.col("fa"), F.col("fb")).alias("d"), metric.linked(F.col("fa"), F.col("fb")).alias("link"))
