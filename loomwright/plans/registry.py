@@ -401,11 +401,11 @@ def paired_comparison(spark, sf_dir):
 
 
 @_query(
-    "SELECT b, c, round(least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1.0) - lgamma(i + 1.0) - lgamma(b + c - i + 1.0) - (b + c) * ln(2.0))) FROM range(0, 12) r(i) WHERE i <= least(b, c))), 6) AS p FROM (SELECT DISTINCT p_size % 12 AS b, (p_partkey % 9)::integer AS c FROM part)"
+    "SELECT b, c, round(1000003 * least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1.0) - lgamma(i + 1.0) - lgamma(b + c - i + 1.0) - (b + c) * ln(2.0))) FROM range(0, 12) r(i) WHERE i <= least(b, c))))::bigint AS p FROM (SELECT DISTINCT p_size % 12 AS b, (p_partkey % 9)::integer AS c FROM part)"
 )
 def sign_tests(spark, sf_dir):
     pairs = _table(spark, sf_dir, "part").select((F.col("p_size") % 12).alias("b"), (F.col("p_partkey") % 9).cast("int").alias("c")).distinct()
-    return pairs.select("b", "c", F.round(comprehension.sign_test(F.col("b"), F.col("c")), 6).alias("p"))
+    return pairs.select("b", "c", F.round(1000003 * comprehension.sign_test(F.col("b"), F.col("c"))).cast("long").alias("p"))
 
 
 @_query("SELECT rep AS \"repeat\", doc, model, rendering FROM (SELECT doc_id AS doc FROM documents), unnest([1, 2]) a(rep), unnest(['small', 'large']) b(model), unnest(['input', 'grid']) c(rendering)")
