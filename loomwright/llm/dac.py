@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_width
+from .common import shared_dir, shuffle_width, small_batches
 from .tokens import encoder
 
 MAGIC = b"LWDAC1\0\0"
@@ -126,8 +126,8 @@ def _encode(path: str, end_id: int, per: int):
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 buckets, ids, coded = part.column(0).to_pylist(), part.column(1).to_pylist(), enc.encode(part.column(2).to_pylist())
                 for b, i, x in zip(buckets, ids, coded, strict=True):
                     if docs and (b != bucket or total >= per):
@@ -147,6 +147,7 @@ def _encode(path: str, end_id: int, per: int):
 def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, per: int = 1 << 19, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode the texts in ascending doc_id order into the file set ``path``."""
     spark = df.sparkSession
+    small_batches(spark)
     buckets = buckets or shuffle_width(spark)
     share = [k / buckets for k in range(1, buckets)]
     bounds = (df.select(F.percentile_approx(F.col(id_col).cast("long"), share, 20 * buckets)).first()[0] or []) if share else []

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import materialize, running, small
+from .common import materialize, running, small, small_batches
 from .tokens import encoder
 
 WINDOW = 1024
@@ -166,8 +166,8 @@ def _tokenise(path: str, end_id: int, window: int):
         enc = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                ids, texts = batch.column(0).slice(at, 128), batch.column(1).slice(at, 128).to_pylist()
+            for at in range(0, batch.num_rows, 512):
+                ids, texts = batch.column(0).slice(at, 512), batch.column(1).slice(at, 512).to_pylist()
                 coded = [x + end for x in enc.encode(texts)]
                 n = [len(x) // 4 for x in coded]
                 full = [[zlib.crc32(x[4 * window * k : 4 * window * (k + 1)]) for k in range(m // window)] for x, m in zip(coded, n, strict=True)]
@@ -190,6 +190,7 @@ def _piece_crc(ids: pd.Series, rem: pd.Series, start: pd.Series, stop: pd.Series
 def pack(df: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_to) of every piece."""
     spark = df.sparkSession
+    small_batches(spark)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     coded = rows.mapInArrow(_tokenise(tokenizer, end_id, window), f"id {kind}, n long, full array<long>, rem int, rem_crc long, rem_ids binary")

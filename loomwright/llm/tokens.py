@@ -3,7 +3,8 @@
 Byte-level vocabularies split a text before every single space that a non-space character follows, so
 the ids of a text are those of its pieces "word", " word", ... in turn. A piece seen before is looked up;
 a new one is split as the vocabulary's pre-tokenizer splits it, and only its new parts are encoded, many
-in one text. Both caches are bounded. A text in which some space is followed by white space or the end
+in one text. Both caches are bounded and keep what
+came first. A text in which some space is followed by white space or the end
 is encoded whole, as is every text under a vocabulary of another kind.
 """
 
@@ -17,24 +18,21 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-CACHED = 400_000
+CACHED = 200_000
 _UNSAFE = re.compile(r" (?=\s|\Z)")
 #: The split of byte-level pre-tokenizers.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_SPACED = regex.compile(r" (?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)")
 
 
-class _Pieces(dict):
-    """Ids of pieces; a missing one is put together from its parts."""
-
-    def __init__(self, parts: dict[str, bytes]):
-        super().__init__()
-        self.parts = parts
-
-    def __missing__(self, word: str) -> bytes:
-        ids = b"".join([self.parts[p] for p in _PARTS.findall(word[1:] if word[0] == "\n" else " " + word)])
-        self[word] = ids
-        return ids
+def _split(piece: str) -> list[str] | tuple[str, ...]:
+    """The parts of a piece; most pieces are a word, with or without one mark behind it."""
+    if piece[0] == "\n":
+        return _PARTS.findall(piece[1:])
+    if piece.isalpha():
+        return (" " + piece,)
+    if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+        return (" " + piece[:-1], piece[-1])
+    return _PARTS.findall(" " + piece)
 
 
 class Encoder:
@@ -48,7 +46,7 @@ class Encoder:
             pre = json.load(file).get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and self.tokenizer.normalizer is None
         self.parts: dict[str, bytes] = {}
-        self.pieces = _Pieces(self.parts)
+        self.pieces: dict[str, bytes] = {}
         if self.by_piece:
             vocab = self.tokenizer.get_vocab()
             self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # each character of a token stands for one byte
@@ -58,9 +56,9 @@ class Encoder:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
-        """Encode new parts: those with a space in front together, cut again by the tokens' bytes."""
-        together = [p for p in parts if _SPACED.fullmatch(p)]
-        alone = [p for p in parts if not _SPACED.fullmatch(p)]
+        """Encode new parts: those with a space in front, each one run of a kind, together, cut again by the tokens' bytes."""
+        together = [p for p in parts if p[0] == " "]
+        alone = [p for p in parts if p[0] != " "]
         if together:
             (ids,) = self._encode(["".join(together)])
             ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) for p in together])) + 1
@@ -71,13 +69,9 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text (null: empty) its ids as little-endian unsigned 32-bit integers."""
-        for cache in (self.parts, self.pieces):
-            if len(cache) > CACHED:
-                cache.clear()
         out: list[bytes] = [b""] * len(texts)
         split: list[tuple[int, list[str]]] = []
         whole: list[int] = []
-        new: set[str] = set()
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -87,13 +81,21 @@ class Encoder:
             words = text.split(" ")
             words[0] = "\n" + words[0]  # marks a piece without a space before it; no other piece starts so
             split.append((i, words))
-            for w in [w for w in set(words) if w not in self.pieces]:
-                new.update(_PARTS.findall(w[1:] if w[0] == "\n" else " " + w))
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids.tobytes()
-        self._learn(sorted(new.difference(self.parts)))
+        new = {w: _split(w) for w in set().union(*(words for _, words in split)).difference(self.pieces)}
+        parts = sorted({p for found in new.values() for p in found}.difference(self.parts))
+        self._learn(parts)
+        get = self.parts.__getitem__
+        for w, found in new.items():
+            self.pieces[w] = get(found[0]) if len(found) == 1 else b"".join(map(get, found))
+        get = self.pieces.__getitem__
         for i, words in split:
-            out[i] = b"".join(map(self.pieces.__getitem__, words))
+            out[i] = b"".join(map(get, words))
+        # a full cache keeps what it learnt first, which holds the frequent pieces, and forgets the latest
+        for cache, latest in ((self.pieces, list(new)), (self.parts, parts)):
+            for x in latest[: max(0, len(cache) - CACHED)]:
+                del cache[x]
         return out
 
 
