@@ -1,11 +1,12 @@
 """Token ids of whole texts by the tokenizers library, on one core.
 
-Byte-level vocabularies split a text before every single space that a non-space character follows, so
-the ids of a text are those of its pieces "word", " word", ... in turn. A piece seen before is looked up;
-a new one is split as the vocabulary's pre-tokenizer splits it, and only its new parts are encoded, many
-in one text. Both caches are bounded and keep what
-came first. A text in which some space is followed by white space or the end
-is encoded whole, as is every text under a vocabulary of another kind.
+Byte-level vocabularies split a text before every single space that a non-space character follows,
+before a point or comma behind a letter or digit, and before a line feed behind a character that is no
+white space. So the ids of a text are those of the pieces between these places in turn. A piece seen
+before is looked up; new ones are encoded many in one text. The cache is bounded and keeps what came
+first. A cut that some place of a text does not allow is left out for that text; a text in which some
+space is followed by white space or the end is encoded whole, as is every text under a vocabulary of
+another kind.
 """
 
 from __future__ import annotations
@@ -16,23 +17,13 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import regex
 
-CACHED = 200_000
-_UNSAFE = re.compile(r" (?=\s|\Z)")
-#: The split of byte-level pre-tokenizers.
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-
-
-def _split(piece: str) -> list[str] | tuple[str, ...]:
-    """The parts of a piece; most pieces are a word, with or without one mark behind it."""
-    if piece[0] == "\n":
-        return _PARTS.findall(piece[1:])
-    if piece.isalpha():
-        return (" " + piece,)
-    if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-        return (" " + piece[:-1], piece[-1])
-    return _PARTS.findall(" " + piece)
+CACHED = 300_000
+_BAD_SPACE = re.compile(r" (?=\s|\Z)")
+_BAD_MARK = re.compile(r"[.,](?<=[\W_].)")
+_BAD_LINE = re.compile(r"\n(?<=\s.)", re.S)
+#: Pieces that can stand behind one another in one text without a change.
+_CHAINED = re.compile(r"[ \n]\S(?:.*\S)?", re.S)
 
 
 class Encoder:
@@ -45,7 +36,6 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             pre = json.load(file).get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and self.tokenizer.normalizer is None
-        self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         if self.by_piece:
             vocab = self.tokenizer.get_vocab()
@@ -55,17 +45,18 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str]) -> None:
-        """Encode new parts: those with a space in front, each one run of a kind, together, cut again by the tokens' bytes."""
-        together = [p for p in parts if p[0] == " "]
-        alone = [p for p in parts if p[0] != " "]
-        if together:
+    def _learn(self, new: list[str]) -> None:
+        """Encode new pieces: most together in one text, which is cut again by the tokens' bytes."""
+        alone = [p for p in new if not _CHAINED.fullmatch(p)]
+        if len(alone) < len(new):
+            rest = set(alone)
+            together = [p for p in new if p not in rest]
             (ids,) = self._encode(["".join(together)])
             ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) for p in together])) + 1
             raw, at = ids.tobytes(), 0
             for p, end in zip(together, (ends * 4).tolist(), strict=True):
-                self.parts[p], at = raw[at:end], end
-        self.parts.update(zip(alone, (x.tobytes() for x in self._encode(alone)), strict=True))
+                self.pieces[p], at = raw[at:end], end
+        self.pieces.update(zip(alone, (x.tobytes() for x in self._encode(alone)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text (null: empty) its ids as little-endian unsigned 32-bit integers."""
@@ -75,27 +66,25 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not self.by_piece or _UNSAFE.search(text):
+            if not self.by_piece or "\0" in text or _BAD_SPACE.search(text):
                 whole.append(i)
                 continue
-            words = text.split(" ")
-            words[0] = "\n" + words[0]  # marks a piece without a space before it; no other piece starts so
-            split.append((i, words))
+            cut = text.replace(" ", "\0 ")
+            if not _BAD_MARK.search(text):
+                cut = cut.replace(",", "\0,").replace(".", "\0.")
+            if not _BAD_LINE.search(text):
+                cut = cut.replace("\n", "\0\n")
+            split.append((i, cut.split("\0")))
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids.tobytes()
-        new = {w: _split(w) for w in set().union(*(words for _, words in split)).difference(self.pieces)}
-        parts = sorted({p for found in new.values() for p in found}.difference(self.parts))
-        self._learn(parts)
-        get = self.parts.__getitem__
-        for w, found in new.items():
-            self.pieces[w] = get(found[0]) if len(found) == 1 else b"".join(map(get, found))
+        new = list(set().union(*(parts for _, parts in split)).difference(self.pieces))
+        self._learn(new)
         get = self.pieces.__getitem__
-        for i, words in split:
-            out[i] = b"".join(map(get, words))
+        for i, parts in split:
+            out[i] = b"".join(map(get, parts))
         # a full cache keeps what it learnt first, which holds the frequent pieces, and forgets the latest
-        for cache, latest in ((self.pieces, list(new)), (self.parts, parts)):
-            for x in latest[: max(0, len(cache) - CACHED)]:
-                del cache[x]
+        for p in new[: max(0, len(self.pieces) - CACHED)]:
+            del self.pieces[p]
         return out
 
 
