@@ -26,7 +26,9 @@ _RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "i
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _DROP = {"script", "style", "noscript", "template", "nav", "aside", "form", "button", "select", "option", "textarea", "input", "iframe", "object", "embed", "applet", "canvas", "svg", "math", "audio", "video", "dialog", "menu", "head", "title", "noembed", "noframes", "xmp", "datalist"}
-_UNWANTED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor(?:ed)?|promo\w*|outbrain|taboola|comments?|commentlist|respond|disqus\w*|replies|reply|responses|discussion|sidebar|side|aside|widget|related|recommended|recirc|more|share|sharing|social|follow|newsletter|subscribe|signup|login|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|paywall|breadcrumbs?|crumbs?|menu|nav|navbar|navigation|toolbar|pagination|pager|masthead|footer|foot|copyright|legal|disclaimer|skip|search|tags|byline-share|print)(?=$|[\s_-])", re.I)
+_UNWANTED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor(?:ed)?|promo\w*|outbrain|taboola|comments?|commentlist|disqus\w*|replies|sidebar|aside|widget|related|recommended|recirc|share|sharing|social|newsletter|subscribe|signup|login|cookies?|consent|gdpr|notices?|popup|modal|overlay|paywall|breadcrumbs?|crumbs?|menu|nav|navbar|navigation|toolbar|pagination|pager|masthead|footer)(?=$|[\s_-])", re.I)
+#: Names that say so unless a wanted one stands beside them.
+_DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:banner|respond|reply|responses|discussion|side|more|follow|alert|foot|copyright|legal|disclaimer|skip|search|tags|print)(?=$|[\s_-])", re.I)
 _WANTED = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text|hentry)(?=$|[\s_-])", re.I)
 _ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 _SPACE = re.compile(r"\s+")
@@ -107,10 +109,26 @@ def _boilerplate(node: Node, in_article: bool) -> bool:
     if node.tag in ("body", "html", "article", "main"):
         return False
     named = f"{a.get('class', '')} {a.get('id', '')}"
-    return bool(_UNWANTED.search(named)) and not _WANTED.search(named)
+    return bool(_UNWANTED.search(named)) or bool(_DOUBTFUL.search(named)) and not _WANTED.search(named)
+
+
+def _wrappers(root: Node) -> set[int]:
+    """Elements that hold an article and most of the page's text: their names say nothing about it."""
+    size: dict[int, int] = {}
+    holds: set[int] = set()
+    for node in _post_order(root):
+        here = 0
+        if node.tag not in _DROP:
+            for child in node.children:
+                here += len(child) if isinstance(child, str) else size[id(child)]
+        size[id(node)] = here
+        if node.parent is not None and (node.tag in ("article", "main") or id(node) in holds):
+            holds.add(id(node.parent))
+    return {n for n in holds if 2 * size[n] >= size[id(root)]}
 
 
 def _prune(root: Node) -> None:
+    wrappers = _wrappers(root)
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
@@ -118,7 +136,7 @@ def _prune(root: Node) -> None:
         for child in node.children:
             if isinstance(child, str):
                 kept.append(child)
-            elif not _boilerplate(child, inside):
+            elif not _boilerplate(child, inside) or id(child) in wrappers and child.tag in ("div", "section"):
                 kept.append(child)
                 stack.append((child, inside or child.tag in ("article", "main")))
         node.children = kept
