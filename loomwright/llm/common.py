@@ -34,11 +34,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hold Arrow batches of this session to ``rows``: whole texts are long, and each batch is in memory twice."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 2 << 20) -> None:
+    """Hold Arrow batches of this session to ``rows`` and, but for a single long row, ``size`` bytes: each batch is in memory twice."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(key, None) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def shuffle_width(spark: SparkSession) -> int:
