@@ -20,6 +20,8 @@ from .graph import connected_components
 
 #: Distances closer than this to a bound are compared exactly.
 MARGIN = 1e-7
+#: Items join a family up to so many times the limit from its made centre.
+REACH = 2.5
 #: Items of a block; a task holds two blocks at a time.
 BLOCK = 256
 
@@ -47,18 +49,21 @@ def _attach(df: DataFrame, on: str, feats: DataFrame, name: str) -> DataFrame:
     return df.join(feats.select(F.col("id").alias(on), F.col("feat").alias(name)), on)
 
 
-def _agreed(to: DataFrame, met: DataFrame, have: DataFrame, metric: Metric, votes: int) -> tuple[DataFrame, DataFrame]:
-    """(id, fam, r) of items within the limit of a made centre, and the made centres (id, feat).
+def _agreed(to: DataFrame, met: DataFrame, have: DataFrame, metric: Metric) -> tuple[DataFrame, DataFrame]:
+    """(id, fam, r) of items within the reach of a made centre, and the made centres (id, feat).
 
     Variants lie nearer to what most of them share than to one another. A key names the made centre of
-    most items that has it, so each item is compared with few of them.
+    most items that has it, so each item is compared with few of them. Items beyond the limit of all
+    centres join one within twice and a half of it: their pairs with the family are then decided in
+    blocks, not written out.
     """
     members = _attach(to.union(to.select("centre", "centre")).distinct(), "id", have, "feat")
     made = materialize(metric.consensus(members).select(F.xxhash64(F.lit(41), "centre").alias("id"), "feat", "n"), "consensus")
     names = made.select("n", "id", F.explode(metric.centre_keys(F.col("feat"))).alias("key")).groupBy("key").agg(F.max(F.struct("n", "id")).alias("top"))
-    tries = met.select("id", "key").join(names, "key").groupBy("id", F.col("top.id").alias("centre"), F.col("top.n").alias("n")).agg(F.count("*").alias("v")).where(F.col("v") >= votes)
+    tries = met.select("id", "key").join(names, "key").select("id", F.col("top.id").alias("centre"), F.col("top.n").alias("n")).distinct()
     far = _attach(_attach(tries, "id", have, "fa"), "centre", made, "fb").select("id", "centre", "n", metric.distance(F.col("fa"), F.col("fb")).alias("r"))
-    best = far.where(F.col("r") <= metric.limit).groupBy("id").agg(F.max(F.struct("n", "centre", "r")).alias("x"))
+    inner = (F.col("r") <= metric.limit).alias("inner")
+    best = far.where(F.col("r") <= REACH * metric.limit).groupBy("id").agg(F.max(F.struct(inner, "n", "centre", "r")).alias("x"))
     return materialize(best.select("id", F.col("x.centre").alias("fam"), "x.r"), "families"), made.select("id", "feat")
 
 
@@ -99,7 +104,7 @@ def cover(keys: DataFrame, feats: Callable[[DataFrame], DataFrame], metric: Metr
     near = near.where(F.col("r") <= metric.limit / 2 - MARGIN)
     family = None
     if metric.consensus is not None:
-        family, made = _agreed(to, met, have, metric, votes)
+        family, made = _agreed(to, met, have, metric)
         # an item of a family is no centre any more; its ball is the family's if it lies near enough
         gone = family.select("id")
         near = near.join(gone, "id", "left_anti").join(gone.select(F.col("id").alias("centre")), "centre", "left_anti").select("id", "centre", "r")

@@ -152,9 +152,24 @@ def keys_of(prints: pd.Series) -> pd.Series:
     return pd.Series([band_keys(minhash(p.astype(np.int64).view(np.uint64))[None])[0] for p in prints])
 
 
-def block_linker(threshold: float):
-    """Links between the items of two blocks: by the triangle inequality where it decides, else by their shingles."""
+def undecided(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (x, y) of signatures those that the pruning keeps, STEP values at a time."""
+    equal = np.zeros(len(x), np.int64)
+    for k, fewest in enumerate(least):
+        part = slice(k * STEP, (k + 1) * STEP)
+        equal += (a[x, part] == b[y, part]).sum(axis=1)
+        kept = equal >= fewest
+        x, y, equal = x[kept], y[kept], equal[kept]
+    return x, y
+
+
+def block_linker(threshold: float, tolerance: float):
+    """Links between the items of two blocks: by the triangle inequality where it decides, else by pruning and their shingles.
+
+    A group has very many pairs near the threshold, so the tolerance given here is the smaller one.
+    """
     limit = 1 - threshold
+    least = least_equal(threshold, tolerance)
 
     def run(batches):
         for batch in batches:
@@ -167,10 +182,16 @@ def block_linker(threshold: float):
                 (ia, ra, wa, fa), (ib, rb, wb, fb) = parts
                 total = ra[:, None] + rb[None, :]
                 link = total <= limit - MARGIN
-                for x, y in np.argwhere(~link & (np.abs(ra[:, None] - rb[None, :]) <= limit + MARGIN)):
-                    small, large = sorted((len(fa[x]), len(fb[y])))
-                    if (not same or x < y) and small >= threshold * large:
-                        link[x, y] = similarity(fa[x], fb[y]) >= threshold
+                na, nb = np.array([len(f) for f in fa]), np.array([len(f) for f in fb])
+                open_ = ~link & (np.abs(ra[:, None] - rb[None, :]) <= limit + MARGIN)
+                open_ &= np.minimum(na[:, None], nb[None, :]) >= threshold * np.maximum(na[:, None], nb[None, :])
+                if same:
+                    open_ = np.triu(open_, 1)
+                x, y = np.nonzero(open_)
+                if len(x):
+                    sa, sb = (np.stack([minhash(f.view(np.uint64)) for f in fs]) for fs in (fa, fb))
+                    for i, j in zip(*undecided(sa, sb, x, y, least), strict=True):
+                        link[i, j] = similarity(fa[i], fb[j]) >= threshold
                 if same:
                     link = np.triu(link, 1)
                     link |= link.T
@@ -242,7 +263,7 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         held = base.join(wanted.select(F.col("rep").alias("id"), F.col("id").alias("d1"), "d2"), "id")
         return held.where(same_words(F.col("text"), F.col("d1"), F.col("d2"))).groupBy(F.col("d1").alias("id")).agg(F.max("text").alias("text")).select("id", fingerprint_sets("text").alias("feat"))
 
-    metric = Metric(jaccard_distance, lambda a, b: jaccard(a, b) >= threshold, limit, prune, consensus=majority, centre_keys=keys_of, block=block_linker(threshold))
+    metric = Metric(jaccard_distance, lambda a, b: jaccard(a, b) >= threshold, limit, prune, consensus=majority, centre_keys=keys_of, block=block_linker(threshold, tolerance / 100))
     found = links(items.select("id", F.explode("keys").alias("key")), texts, items.select("id", "weight"), metric, votes)
     named = found.join(items.select("id", "rep"), "id")
     # components are named by digests until here; their name is the smallest doc_id
