@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType
 
-from .common import materialize, small
+from .common import materialize, small, small_batches
 from .cover import MARGIN, Metric, links
 
 SHINGLE = 5
@@ -242,6 +242,7 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_links: other documents with similarity >= threshold, copies included; class_id: the smallest
     doc_id reachable by links; n_copies: documents with the same words, itself included.
     """
+    small_batches(df.sparkSession)
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     signed = materialize(base.mapInArrow(_sign, "id long, d1 long, d2 long, sig binary, keys array<long>"), "signatures")
     classes = materialize(signed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("weight")), "classes")
