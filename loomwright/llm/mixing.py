@@ -93,9 +93,9 @@ def _rows(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int)
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 17) -> DataFrame:
-    """(id, source, size, source_size, target, taken, h, block) of every document."""
+    """(row, id, source, size, source_size, target, taken, h, block) of every document, as a written table; row is a number of its own."""
     spark = df.sparkSession
-    rows = materialize(_rows(df, id_col, text_col, source_col, seed).withColumn("block", F.pmod("h", F.lit(BLOCKS)).cast("int")), "sizes")
+    rows = materialize(_rows(df, id_col, text_col, source_col, seed).withColumn("block", F.pmod("h", F.lit(BLOCKS)).cast("int")).withColumn("row", F.monotonically_increasing_id()), "sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("s")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -128,11 +128,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     inside = (F.col("block") == F.col("cut")) & (F.col("fine") == F.col("cut_fine"))
     whole = (F.col("block") < F.col("cut")) | ((F.col("block") == F.col("cut")) & (F.col("fine") < F.col("cut_fine")))
     edge = at.where(inside)
-    edge = edge.withColumn("before", F.sum("size").over(Window.partitionBy("source").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    edge = edge.withColumn("before", F.sum("size").over(Window.partitionBy("source").orderBy("h", "id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     edge = edge.withColumn("more", F.greatest(F.lit(0), F.least("size", F.col("last") - F.col("before")))).drop("before")
     rest = at.where(~F.coalesce(inside, F.lit(False))).withColumn("more", F.when(whole, F.col("size")).otherwise(F.lit(0)))
     out = rest.unionByName(edge).withColumn("taken", (F.col("size") * F.col("passes") + F.col("more")).cast("long"))
-    return out.select("id", "source", "size", "source_size", "target", "taken", "h", "block")
+    return materialize(out.select("row", "id", "source", "size", "source_size", "target", "taken", "h", "block"), "mixed")
 
 
 def shards(mixed: DataFrame, count: int = 64, seed: int = 17) -> DataFrame:
@@ -147,10 +147,17 @@ def shards(mixed: DataFrame, count: int = 64, seed: int = 17) -> DataFrame:
 
 
 def copies(mixed: DataFrame, count: int = 64, seed: int = 17) -> DataFrame:
-    """(id, source, copy, words, shard, place, h): every copy that is taken, its shard and its place's hash there."""
+    """(row, id, source, copy, words, shard, place, h): every copy that is taken, its shard and its place's hash there."""
     runs = small(shards(mixed, count, seed))
     n = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     each = mixed.where(n > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1)))
     each = each.withColumn("words", F.least("size", F.col("taken") - F.col("copy") * F.col("size"))).withColumn("at", F.col("copy") * BLOCKS + F.col("block"))
     to = each["source"].eqNullSafe(runs["source"]) & (each["at"] >= runs["first"]) & (each["at"] < runs["last"])
-    return each.join(runs, to).select("id", each["source"], "copy", "words", "shard", F.xxhash64(F.lit(seed + 1), "h", "copy").alias("place"), "h")
+    return each.join(runs, to).select("row", "id", each["source"], "copy", "words", "shard", F.xxhash64(F.lit(seed + 1), "h", "copy").alias("place"), "h")
+
+
+def dealt(mixed: DataFrame, count: int = 64, seed: int = 17) -> DataFrame:
+    """The documents of a mix, with ``taken`` summed over the copies that the shards draw."""
+    drawn = copies(mixed, count, seed).groupBy("row").agg(F.sum("words").alias("drawn"))
+    out = mixed.join(drawn, "row", "left").withColumn("taken", F.coalesce("drawn", F.lit(0)).cast("long"))
+    return out.select(*mixed.columns)

@@ -81,3 +81,19 @@ def test_run_and_registration(spark, docs_dir):
     packed = names["pipeline"](spark, docs_dir)
     assert packed.count() > 0
     assert jaccard_join.near_documents(spark.read.parquet(f"{docs_dir}/documents.parquet")).count() == 248
+
+
+def test_mixing_takes_what_the_shards_draw(spark, docs_dir, monkeypatch):
+    from loomwright.llm import mixing
+
+    docs = spark.read.parquet(f"{docs_dir}/documents.parquet")
+    mixed = {r["id"]: r["taken"] for r in mixing.mix(docs).collect()}
+    got = {r["doc_id"]: r["taken"] for r in entry.queries()["op6_mixing"](spark, docs_dir).collect()}
+    assert got == mixed and len(got) == 248 and 0 in got.values()
+    every = mixing.shards
+    some = collections.Counter()
+    for r in mixing.copies(mixing.mix(docs)).where("shard < 20").collect():
+        some[r["id"]] += r["words"]
+    monkeypatch.setattr(mixing, "shards", lambda *a: every(*a).where("shard < 20"))
+    got = {r["doc_id"]: r["taken"] for r in entry.queries()["op6_mixing"](spark, docs_dir).collect()}
+    assert got == {i: some[i] for i in mixed} and 0 < sum(got.values()) < sum(mixed.values())
