@@ -3,7 +3,8 @@
 A rule (verdict, host, path) fits its host and all its subdomains if the URL's path starts with the
 rule's path; the longest host + path wins (a tie: allow first). Aliases are found by
   - canonical links (<link rel=canonical href=...>) and redirects (<meta http-equiv=refresh
-    content="...url=...">) in the page,
+    content="...url=...">) in the page, relative ones (//host/p, /p, p, ../p, ?q, #f) resolved against the page's
+    URL as RFC 3986 says (<base> is not read; targets of another scheme such as mailto: are no aliases),
   - the URL's own canonical form: no scheme, no www. or m. host label, no query, fragment, trailing slash or .html.
 Components over these edges share their fate: a URL without a rule is blocked if a rule blocks some URL
 of its component. Explicit allow has precedence: a URL that an allow rule fits stays allowed whatever
@@ -56,6 +57,26 @@ def _links(page: Column) -> Column:
     return F.transform(tags, lambda t: F.when(t.rlike(r"(?i)^<link"), F.regexp_extract(t, link, 1)).otherwise(F.regexp_extract(t, move, 1)))
 
 
+def resolved(host: Column, path: Column, target: Column) -> Column:
+    """The canonical form of a link's target on the page at ``host`` and ``path``; null for one that names no place."""
+    scheme = target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    away = target.startswith("//")
+    plain = F.regexp_extract(target, r"^[^?#]*", 0)
+    folder = F.regexp_extract(path, r"(?s)^.*/", 0)
+    to = (
+        F.when(away, F.regexp_extract(target, r"^//[^/?#]*([^?#]*)", 1))
+        .when(plain == "", path)
+        .when(plain.startswith("/"), plain)
+        .otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), plain))
+    )
+    # . and .. are walked through, .. at the root stays there; what stands before the first / is empty
+    steps = F.split(to, "/")
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+    walked = F.aggregate(F.slice(steps, F.lit(2), F.size(steps)), F.array(F.lit("")), lambda done, s: F.when(s == ".", done).when(s == "..", up(done)).otherwise(F.concat(done, F.array(s))))
+    own = F.when(away, _lower(F.regexp_extract(target, r"^//([^/?#]*)", 1))).otherwise(host)
+    return F.when(scheme, F.when(target.rlike(r"^[^:]*://"), canonical(host_of(target), path_of(target)))).otherwise(canonical(own, F.array_join(walked, "/")))
+
+
 def _rules(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     df = spark.createDataFrame([(v, h.lower(), p) for v, h, p in rules], "verdict string, rhost string, rpath string") if rules else spark.createDataFrame([], "verdict string, rhost string, rpath string")
     return df.withColumn("rule", F.concat("rhost", "rpath"))
@@ -79,11 +100,8 @@ def judge(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col:
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("form", canonical(F.col("host"), F.col("path")))
     rows = materialize(rows, "urls")
     ruled = _ruled(rows.where("host <> ''").select("url", "host", "path").distinct(), _rules(spark, rules))
-    target = rows.where("form is not null").select("form", F.explode("to").alias("t"))
-    whole = target.withColumn("h", host_of(F.col("t"))).withColumn("p", path_of(F.col("t")))
-    # a target that starts with / is on the page's own host
-    own = F.when(F.col("t").rlike("^/[^/]"), canonical(F.regexp_extract("form", "^[^/]*", 0), F.regexp_extract("t", "^[^?#]*", 0)))
-    edges = whole.select(F.col("form").alias("u"), F.coalesce(canonical(F.col("h"), F.col("p")), own).alias("v"))
+    target = rows.where("form is not null").select("form", "host", "path", F.explode("to").alias("t")).where("t <> ''")
+    edges = target.select(F.col("form").alias("u"), resolved(F.col("host"), F.col("path"), F.col("t")).alias("v"))
     tied = connected_components(edges)
     judged = materialize(rows.drop("to").join(ruled, "url", "left").join(tied.select(F.col("node").alias("form"), F.col("component").alias("tied")), "form", "left").withColumn("component", F.coalesce("tied", "form")).drop("tied"), "judged")
     blocked = judged.where("explicit = 'block'").select("component").distinct().withColumn("spread", F.lit("block"))

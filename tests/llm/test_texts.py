@@ -160,3 +160,46 @@ def test_pages(spark):
     assert [(r["text"], r["n_chars"]) for r in got[: len(PAGES)]] == [(t, len(t)) for _, t in PAGES]
     assert (got[-2]["page_id"], got[-2]["text"]) == (None, "x") and got[-1]["n_chars"] == 6 * 60_000 - 1
     assert html_extract.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+
+
+def test_relative_targets(spark):
+    import string
+    from urllib.parse import urljoin, urlsplit
+
+    bases = ["https://www.A.org", "https://a.org/", "http://a.org/d/e/f.html?x=1", "https://m.a.org/d/e/"]
+    targets = ["//b.net/es/x", "//B.net", "/", "/y", "/d/../z", "home.html", "./home.html", "../x", "../../../x", "g/./h/../i", "?q=1", "#top", "/to?u=http://c.net/es/p", "..", "http://c.net/es/p.html", "g;x=1/../y"]
+    rows = [(b, t) for b in bases for t in targets]
+    from pyspark.sql import functions as F
+
+    url = F.col("b")
+    said = spark.createDataFrame(rows, "b string, t string").select("b", "t", url_filter.resolved(url_filter.host_of(url), url_filter.path_of(url), F.col("t")).alias("v")).collect()
+
+    def form(u):
+        x = urlsplit(u)
+        host = x.netloc.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+        return re.sub(r"^(www|m)\.", "", host) + re.sub(r"/+\Z", "", re.sub(r"\.html?\Z", "", x.path))
+
+    for r in said:
+        assert r["v"] == form(urljoin(r["b"], r["t"])), r
+    other = spark.createDataFrame([("mailto:x@b.net",), ("javascript:go()",), (None,)], "t string").select(url_filter.resolved(F.lit("a.org"), F.lit("/"), F.col("t")))
+    assert {r[0] for r in other.collect()} == {None}
+    # urljoin drops empty steps, which the RFC keeps
+    assert spark.range(1).select(url_filter.resolved(F.lit("a.org"), F.lit("/d/e"), F.lit("a//b"))).first()[0] == "a.org/d/a//b"
+
+
+def test_blocks_reach_relative_aliases(spark):
+    link, move = '<link rel=canonical href="{}">', '<meta http-equiv=refresh content="0;url={}">'
+    rows = [
+        (1, "https://a.net/es/x", ""),
+        (2, "https://one.org/p", link.format("//a.net/es/x")),
+        (3, "https://one.org/q/r.html", move.format("../p")),
+        (4, "https://one.org/q/home.html", ""),
+        (5, "https://one.org/q/s", move.format("home.html")),
+        (6, "https://one.org/q/home", link.format("r.html?x")),
+        (7, "https://two.org/t", move.format("/")),
+        (8, "https://two.org/", link.format("//one.org/q/s")),
+        (9, "https://free.org/q/s", move.format("home.html")),
+        (10, "https://free.org/u", link.format("/to?u=http://a.net/es/x")),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "block" if i < 9 else "allow" for i in range(1, 11)}
