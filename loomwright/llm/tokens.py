@@ -5,8 +5,9 @@ before a point or comma behind a letter or digit, and before a line feed behind
 white space. So the ids of a text are those of the pieces between these places in turn. A piece seen
 before is looked up; new ones are encoded many in one text. The cache is bounded and keeps what came
 first. A cut that some place of a text does not allow is left out for that text; a text in which some
-space is followed by white space or the end is encoded whole, as is every text under a vocabulary of
-another kind.
+space is followed by white space or the end, or that contains an added token (which gets its own id), is
+encoded whole, as is every text under a vocabulary of another kind or with a space or line feed in an
+added token.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            pre = json.load(file).get("pre_tokenizer") or {}
-        self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and self.tokenizer.normalizer is None
+            spec = json.load(file)
+        pre = spec.get("pre_tokenizer") or {}
+        added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
+        self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and self.tokenizer.normalizer is None and not any(c in t for t in added for c in " \n")
         self.pieces: dict[str, bytes] = {}
         if self.by_piece:
             vocab = self.tokenizer.get_vocab()
@@ -66,7 +69,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not self.by_piece or "\0" in text or _BAD_SPACE.search(text):
+            if not self.by_piece or "\0" in text or _BAD_SPACE.search(text) or self.added.search(text):
                 whole.append(i)
                 continue
             cut = text.replace(" ", "\0 ")

@@ -191,3 +191,18 @@ def test_topk(spark):
         assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
     assert set(got) == {i for i in whole if i % 20 == 0}
     assert topk.nearest(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_added_tokens_get_their_ids(spark, encoder):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary())
+    texts = [*ODD, "end of one<|endoftext|>start of next", "<|endoftext|>", "a, b.\n<|endoftext|>\nc <|endoftext|> d", "<|endoftext", "start of next"]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[len(ODD)].count(plain.token_to_id("<|endoftext|>")) == 1
+    for _ in range(2):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == want
+    path = dac.new_path(spark)
+    dac.write(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), path, vocabulary())
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in dac.documents(spark, path).collect()}
+    assert got == {i: (len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())) for i, ids in enumerate(want)}
