@@ -43,20 +43,23 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the last copy of a document that is taken in part is cut after its words."""
+    """Documents as often as the mix takes them; the last copy of a document that is taken in part is cut after its words.
+
+    The rows come by shard, one partition (so one written file) each, in the shard's shuffled order.
+    """
     docs = docs.select(*COLUMNS)
-    taken = mixing.copies(mixing.mix(docs))
+    taken = mixing.copies(mixing.mix(docs), mixing.SHARDS)
     h = F.xxhash64(F.lit(17), F.col("doc_id"), F.col("text"))
     # rows that are equal in id and text share a hash: one row stands for them, their copies are joined to it
     once = docs.withColumn("h", h).dropDuplicates(["h"])
     each = once.join(taken.select("h", "words", "shard", "place"), "h")
     size = mixing.word_count(F.col("text"))
     each = each.withColumn("size", size)
-    whole = each.where("words = size")
-    cut = each.where("words < size")
+    cut = F.col("words") < F.col("size")
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + mixing.WORD), F.lit(0))
-    part = cut.withColumn("text", F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")).withColumn("n_chars", F.length("text").cast("long"))
-    return whole.select(*COLUMNS).union(part.select(*COLUMNS))
+    each = each.withColumn("text", F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")).otherwise(F.col("text")))
+    each = each.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return each.repartitionById(mixing.SHARDS, F.col("shard")).sortWithinPartitions("shard", "place").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

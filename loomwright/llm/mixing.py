@@ -32,6 +32,7 @@ from .common import materialize, small
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCKS = 1024
 FINE = 1024
+SHARDS = 64
 MAX_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -135,7 +136,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return materialize(out.select("row", "id", "source", "size", "source_size", "target", "taken", "h", "block"), "mixed")
 
 
-def shards(mixed: DataFrame, count: int = 64, seed: int = 17) -> DataFrame:
+def shards(mixed: DataFrame, count: int = SHARDS, seed: int = 17) -> DataFrame:
     """(source, shard, first, last): the runs of drawn blocks, pass after pass, that each shard gets of each source."""
     spark = mixed.sparkSession
     quota = mixed.groupBy("source").agg(F.max(F.when(F.col("size") > 0, F.floor((F.col("taken") - 1) / F.col("size")) * BLOCKS + F.col("block") + 1).otherwise(0)).alias("q")).collect()
@@ -146,7 +147,7 @@ def shards(mixed: DataFrame, count: int = 64, seed: int = 17) -> DataFrame:
     return spark.createDataFrame(rows, "source string, shard int, first long, last long")
 
 
-def copies(mixed: DataFrame, count: int = 64, seed: int = 17) -> DataFrame:
+def copies(mixed: DataFrame, count: int = SHARDS, seed: int = 17) -> DataFrame:
     """(row, id, source, copy, words, shard, place, h): every copy that is taken, its shard and its place's hash there."""
     runs = small(shards(mixed, count, seed))
     n = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
@@ -156,7 +157,7 @@ def copies(mixed: DataFrame, count: int = 64, seed: int = 17) -> DataFrame:
     return each.join(runs, to).select("row", "id", each["source"], "copy", "words", "shard", F.xxhash64(F.lit(seed + 1), "h", "copy").alias("place"), "h")
 
 
-def dealt(mixed: DataFrame, count: int = 64, seed: int = 17) -> DataFrame:
+def dealt(mixed: DataFrame, count: int = SHARDS, seed: int = 17) -> DataFrame:
     """The documents of a mix, with ``taken`` summed over the copies that the shards draw."""
     drawn = copies(mixed, count, seed).groupBy("row").agg(F.sum("words").alias("drawn"))
     out = mixed.join(drawn, "row", "left").withColumn("taken", F.coalesce("drawn", F.lit(0)).cast("long"))

@@ -97,3 +97,20 @@ def test_mixing_takes_what_the_shards_draw(spark, docs_dir, monkeypatch):
     monkeypatch.setattr(mixing, "shards", lambda *a: every(*a).where("shard < 20"))
     got = {r["doc_id"]: r["taken"] for r in entry.queries()["op6_mixing"](spark, docs_dir).collect()}
     assert got == {i: some[i] for i in mixed} and 0 < sum(got.values()) < sum(mixed.values())
+
+
+def test_mixing_writes_shuffled_shards(spark, docs_dir, tmp_path):
+    import pyarrow.parquet as pq
+
+    from loomwright.llm import mixing
+
+    docs = spark.read.parquet(f"{docs_dir}/documents.parquet").where("text is not null").dropDuplicates(["text"])
+    P.mixture(spark, docs, docs_dir).write.parquet(f"{tmp_path}/mixed")
+    shards = collections.defaultdict(list)
+    for r in mixing.copies(mixing.mix(docs)).collect():
+        shards[r["shard"]].append((r["place"], r["id"], r["words"]))
+    want = [[(i, n) for _, i, n in sorted(shards[k])] for k in sorted(shards)]
+    files = sorted((tmp_path / "mixed").glob("part-*.parquet"))
+    got = [[(i, len(t.split())) for i, t in zip(x["doc_id"].to_pylist(), x["text"].to_pylist(), strict=True)] for x in map(pq.read_table, files)]
+    assert [x for x in got if x] == want and len(want) > 32
+    assert any(x != sorted(x) for x in want)
