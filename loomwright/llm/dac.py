@@ -12,13 +12,14 @@ A segment (little-endian):
     for each level: n u64, n x u8 chunks, and unless it is the last: ceil(n/8) bytes of bitmap (lowest
     bit first), ceil(n/512) x u32 rank directory
 
-A file set is a Parquet table with one segment a row (bucket, place, n_docs, n_ids, data), documents in
-ascending doc_id order within a segment, segments by (bucket, place): Spark's committers write it whole
-or not at all on any store, and a lost task is redone.
+A file set is a Parquet table with one segment a row (bucket, place, before, n_docs, n_ids, data), documents
+in ascending doc_id order within a segment, segments by (bucket, place); before: the ids of the bucket that
+stand before the segment. A bucket is a range of doc_ids and one task. Spark's committers write the table
+whole or not at all on any store, and a lost task is redone.
 
 Edge cases: a null or empty text is the end id alone; documents without doc_id come first; rows that
-repeat a doc_id are kept each, in the order of their texts; other columns are ignored; an empty table
-gives an empty file set.
+repeat a doc_id are kept each, in the order of a hash of their texts, by which they too are dealt to
+buckets; other columns are ignored; an empty table gives an empty file set.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_width, small_batches
+from .common import shared_dir, shuffle_width, small, small_batches
 from .tokens import encoder
 
 MAGIC = b"LWDAC1\0\0"
@@ -110,34 +111,33 @@ class Segment:
         return out
 
 
-def _encode(path: str, end_id: int, per: int):
-    schema = ["bucket", "place", "n_docs", "n_ids", "data"]
+_ROWS = "bucket int, place int, before long, n_docs long, n_ids long, data binary"
+
 
+def _encode(path: str, end_id: int, per: int):
     def run(batches):
         enc = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
-        bucket, place, docs, parts, total, ends = None, 0, [], [], 0, []
+        bucket, place, before, docs, parts, total, ends = None, 0, 0, [], [], 0, []
 
         def flush():
-            nonlocal place, docs, parts, total, ends
+            nonlocal place, before, docs, parts, total, ends
             data = encode_segment(np.frombuffer(b"".join(parts), "<u4"), docs, ends)
-            row = pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([place], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], names=schema)
-            place, docs, parts, total, ends = place + 1, [], [], 0, []
-            return row
+            values = [pa.array([bucket], pa.int32()), pa.array([place], pa.int32()), *(pa.array([n], pa.int64()) for n in (before, len(docs), total)), pa.array([data], pa.binary())]
+            place, before, docs, parts, total, ends = place + 1, before + total, [], [], 0, []
+            return pa.RecordBatch.from_arrays(values, names=["bucket", "place", "before", "n_docs", "n_ids", "data"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                buckets, ids, coded = part.column(0).to_pylist(), part.column(1).to_pylist(), enc.encode(part.column(2).to_pylist())
-                for b, i, x in zip(buckets, ids, coded, strict=True):
-                    if docs and (b != bucket or total >= per):
-                        yield flush()
-                    if b != bucket:
-                        bucket, place = b, 0
-                    docs.append(NO_ID if i is None else i)
-                    parts += (x, end)
-                    total += len(x) // 4 + 1
-                    ends.append(total)
+            buckets, ids, coded = batch.column(0).to_pylist(), batch.column(1).to_pylist(), enc.encode(batch.column(2).to_pylist())
+            for b, i, x in zip(buckets, ids, coded, strict=True):
+                if docs and (b != bucket or total >= per):
+                    yield flush()
+                if b != bucket:
+                    bucket, place, before = b, 0, 0
+                docs.append(NO_ID if i is None else i)
+                parts += (x, end)
+                total += len(x) // 4 + 1
+                ends.append(total)
         if docs:
             yield flush()
 
@@ -148,19 +148,9 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, per: int =
     """Encode the texts in ascending doc_id order into the file set ``path``."""
     spark = df.sparkSession
     small_batches(spark)
-    buckets = buckets or shuffle_width(spark)
-    share = [k / buckets for k in range(1, buckets)]
-    bounds = (df.select(F.percentile_approx(F.col(id_col).cast("long"), share, 20 * buckets)).first()[0] or []) if share else []
-    bounds = sorted(set(bounds))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # buckets are ranges of ids; the place of an id among the bounds is its bucket
-    if bounds:
-        at = F.expr("size(filter(bounds, b -> b < id))")
-        rows = rows.withColumn("bounds", F.array(*map(F.lit, bounds))).withColumn("bucket", F.when(F.col("id").isNull(), 0).otherwise(at).cast("int"))
-    else:
-        rows = rows.withColumn("bucket", F.lit(0))
-    rows = rows.select("bucket", "id", "text").repartition(buckets, "bucket").sortWithinPartitions("bucket", "id", "text")
-    rows.mapInArrow(_encode(tokenizer, end_id, per), "bucket int, place int, n_docs long, n_ids long, data binary").write.parquet(path)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange(buckets or shuffle_width(spark), "id", "tie").sortWithinPartitions("id", "tie", "text")
+    rows.select(F.spark_partition_id().alias("bucket"), "id", "text").mapInArrow(_encode(tokenizer, end_id, per), _ROWS).write.parquet(path)
 
 
 def _decode(batches):
@@ -178,18 +168,14 @@ def _decode(batches):
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """(bucket, place, start, n_ids, data) of a file set; start: ids of all segments before."""
-    table = spark.read.schema("bucket int, place int, n_docs long, n_ids long, data binary").parquet(path)
+    table = spark.read.schema(_ROWS).parquet(path)
     # one row a bucket, whose number the writer fixed
-    sums = table.groupBy("bucket").agg(F.sum("n_ids").alias("n")).collect()
     at, first = 0, []
-    for r in sorted(sums, key=lambda r: r["bucket"]):
+    for r in sorted(table.groupBy("bucket").agg(F.sum("n_ids").alias("n")).collect(), key=lambda r: r["bucket"]):
         first.append((r["bucket"], at))
         at += r["n"]
-    first = F.broadcast(spark.createDataFrame(first, "bucket int, at long"))
-    within = Window.partitionBy("bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    places = table.select("bucket", "place", "n_ids").withColumn("before", F.sum("n_ids").over(within) - F.col("n_ids")).join(first, "bucket")
-    places = F.broadcast(places.select("bucket", "place", (F.col("at") + F.col("before")).alias("start"))) if len(sums) <= 10_000 else places.select("bucket", "place", (F.col("at") + F.col("before")).alias("start"))
-    return table.join(places, ["bucket", "place"]).select("bucket", "place", "start", "n_ids", "data")
+    offsets = small(spark.createDataFrame(first, "bucket int, at long"))
+    return table.join(offsets, "bucket").select("bucket", "place", (F.col("at") + F.col("before")).alias("start"), "n_ids", "data")
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:

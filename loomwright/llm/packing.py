@@ -166,18 +166,17 @@ def _tokenise(path: str, end_id: int, window: int):
         enc = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                ids, texts = batch.column(0).slice(at, 512), batch.column(1).slice(at, 512).to_pylist()
-                coded = [x + end for x in enc.encode(texts)]
-                n = [len(x) // 4 for x in coded]
-                full = [[zlib.crc32(x[4 * window * k : 4 * window * (k + 1)]) for k in range(m // window)] for x, m in zip(coded, n, strict=True)]
-                tail = [x[4 * window * (m // window) :] for x, m in zip(coded, n, strict=True)]
-                small_ids = [np.frombuffer(x, "<u4") for x in tail]
-                packed = [x.astype("<u2").tobytes() if not len(x) or x.max() < 65536 else x.tobytes() for x in small_ids]
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array([len(x) // 4 for x in tail], pa.int32()), pa.array([zlib.crc32(x) for x in tail], pa.int64()), pa.array(packed, pa.binary())],
-                    names=["id", "n", "full", "rem", "rem_crc", "rem_ids"],
-                )
+            ids = batch.column(0)
+            coded = [x + end for x in enc.encode(batch.column(1).to_pylist())]
+            n = [len(x) // 4 for x in coded]
+            full = [[zlib.crc32(x[4 * window * k : 4 * window * (k + 1)]) for k in range(m // window)] for x, m in zip(coded, n, strict=True)]
+            tail = [x[4 * window * (m // window) :] for x, m in zip(coded, n, strict=True)]
+            small_ids = [np.frombuffer(x, "<u4") for x in tail]
+            packed = [x.astype("<u2").tobytes() if not len(x) or x.max() < 65536 else x.tobytes() for x in small_ids]
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array([len(x) // 4 for x in tail], pa.int32()), pa.array([zlib.crc32(x) for x in tail], pa.int64()), pa.array(packed, pa.binary())],
+                names=["id", "n", "full", "rem", "rem_crc", "rem_ids"],
+            )
 
     return run
 

@@ -18,12 +18,29 @@ def encoder():
     return Encoder(vocabulary())
 
 
-def test_pieces_equal_whole_texts(encoder):
-    rng = np.random.default_rng(1)
-    texts = ODD + ["".join(rng.choice(list("ab c\n.,'s é1! \t"), 60)) for _ in range(300)]
+#: What texts of the test below are drawn from: every kind of character that the places of cuts look at.
+ATOMS = [*"abÉéß×÷яЖ²½ªº日 01.,;-()$'\"_\n\t\r\x0b\x85\xa0\u2003\u3000“”’\0\x1c", *[" "] * 6, *["\n"] * 3, "'s", "'re", "n't", "word", "<|endoftext|>", "long" * 9]
+
+
+def test_pieces_equal_whole_texts(encoder, monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    from loomwright.llm import tokens
+
+    plain, rng = Tokenizer.from_file(vocabulary()), random.Random(1)
+    texts = ODD + ["".join(rng.choices(ATOMS, k=rng.randint(0, 60))) for _ in range(3000)] + [" ", "\n", "a\n", "\na", " \n a"]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    # a table that fills up, and texts in many parts
+    monkeypatch.setattr(tokens, "FULL", 300)
+    monkeypatch.setattr(tokens, "SPAN", 64)
+    narrow = Encoder(vocabulary())
     for _ in range(2):
-        for text, ids in zip(texts, encoder.encode(texts), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert [np.frombuffer(x, "<u4").tolist() for x in narrow.encode(texts)] == want
+    assert 0 < narrow.held <= 300
 
 
 def test_targets():
