@@ -6,8 +6,10 @@ import string
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..kernel import price
 
@@ -57,45 +59,61 @@ def exact_estimator(name: str, path: str | None = None) -> Estimator:
         raise ValueError(f"no estimator {name!r}")
     if path is None:
         raise FileNotFoundError(f"the rank file of {name} is not part of this build: give its path")
-    import pandas as pd
-    from pyspark.sql.types import LongType
 
     @F.pandas_udf(LongType())
     def tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else exact_count(path, t)).astype("Int64")
-
-    return Estimator(name, RESERVED_IDS[name], tokens, lambda t: exact_count(path, t))
-
-
+        return texts.map(lambda t: None if t is None else exact_count(name, path, t)).astype("Int64")
+
+    return Estimator(name, RESERVED_IDS[name], tokens, lambda t: exact_count(name, path, t))
+
+
+# The published patterns by which the two vocabularies cut a text before they merge bytes.
+PATTERNS = {
+    "cl100k": r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|\s*[\r\n]|\s+(?!\S)|\s",
+    "o200k": "|".join(
+        [
+            r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+(?i:'s|'t|'re|'ve|'m|'ll|'d)?",
+            r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*(?i:'s|'t|'re|'ve|'m|'ll|'d)?",
+            r"\p{N}{1,3}",
+            r" ?[^\s\p{L}\p{N}]+[\r\n/]*",
+            r"\s*[\r\n]+",
+            r"\s+(?!\S)",
+            r"\s+",
+        ]
+    ),
+}
 _loaded: dict = {}
 
 
-def exact_count(path: str, text: str) -> int:
-    if path not in _loaded:
+def exact_count(name: str, path: str, text: str) -> int:
+    """The tokens of a text, taken as ordinary content, under a vocabulary whose ranks a file holds."""
+    if (name, path) not in _loaded:
         import base64
 
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        _loaded[path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return len(_loaded[path].encode_ordinary(text))
-
-
-def _rule(c: Column, low: Column, rule: tuple[str, str, bool]) -> Column:
-    _, literal, exact = rule
-    return F.contains(c, F.lit(literal)) if exact else F.contains(low, F.lit(price.lower(literal)))
+        _loaded[name, path] = tiktoken.Encoding(name, pat_str=PATTERNS[name], mergeable_ranks=ranks, special_tokens={})
+    return len(_loaded[name, path].encode_ordinary(text))
 
 
 def protected(c: Column) -> Column:
     """struct(class, literal) of the first protected literal in a text, or null."""
-    low = ascii_lower(c)
-    out = None
-    for rule in price.RULES:
-        found = F.struct(F.lit(rule[0]).alias("class"), F.lit(rule[1]).alias("literal"))
-        out = F.when(_rule(c, low, rule), found) if out is None else out.when(_rule(c, low, rule), found)
-    return out
+    # lower() is quick, and the two characters that it alone turns into ASCII letters are taken out before;
+    # other letters do not matter, as every literal is ASCII
+    low = F.lower(F.replace(F.replace(c, F.lit("\u212a"), F.lit("?")), F.lit("\u0130"), F.lit("?")))
+
+    def first(x: Column) -> Column:
+        out = None
+        for name, literal, exact in price.RULES:
+            found = F.struct(F.lit(name).alias("class"), F.lit(literal).alias("literal"))
+            hit = F.contains(x["text"], F.lit(literal)) if exact else F.contains(x["low"], F.lit(price.lower(literal)))
+            out = F.when(hit, found) if out is None else out.when(hit, found)
+        return out
+
+    # a list of one binds the folded text, which would else be made again for every literal
+    return F.transform(F.array(F.struct(c.alias("text"), low.alias("low"))), first)[0]
 
 
 def protected_rules(spark: SparkSession) -> DataFrame:

@@ -101,6 +101,21 @@ def compress(df: DataFrame, content: str, config: Config = Config(), out: str =
     return step.withColumn(out, F.when(F.col(content).isNotNull(), artifact)).drop("_analysed", "_before", "_priced", "_best", "_refused")
 
 
+def exact_counts(df: DataFrame, content: str, counter: L.Estimator, artifact: str = "artifact", out: str = "exact") -> DataFrame:
+    """Add ``out``: struct(before, after, ratio, tokenizer_id) by a second price of what a pass took in and gave; null for a refused document."""
+    a = F.col(artifact)
+    before = counter.column(F.col(content).cast("string")).cast("long")
+    after = F.when(a["stats"]["encoder"] == 0, before).otherwise(counter.column(a["rendering"]).cast("long"))
+    counts = F.struct(before.alias("before"), after.alias("after"), L.ratio(after, before).alias("ratio"), F.lit(counter.id).alias("tokenizer_id"))
+    return df.withColumn(out, F.when(a["stats"].isNotNull(), counts))
+
+
+def rendering(df: DataFrame, content: str, encoder: int, config: Config = Config("aggressive"), out: str = "rendering") -> DataFrame:
+    """Add ``out``: what one encoder makes of each document, whatever it costs; null if it declines or the document is refused."""
+    found = _analyser(config)(F.col(content).cast("binary"))["candidates"]
+    return df.withColumn(out, F.get(F.filter(found, lambda c: c["id"] == encoder), 0)["rendering"])
+
+
 def estimate(df: DataFrame, content: str, config: Config = Config(), out: str = "stats") -> DataFrame:
     """The statistics of a pass without its renderings."""
     done = compress(df, content, config, "_artifact")
