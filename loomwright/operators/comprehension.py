@@ -51,8 +51,13 @@ def answers_of(replies: pd.Series) -> pd.Series:
     return replies.map(one)
 
 
-def plan_calls(docs: DataFrame, models: list[str], renderings: list[str], repeats: int = 1) -> DataFrame:
-    """(repeat, doc, model, rendering, place): document by document within a repeat; the lists are literals."""
+def plan_calls(docs: DataFrame, models: list[str], renderings: list[str], repeats: int = 1, cap: int | None = None) -> DataFrame:
+    """(repeat, doc, model, rendering, place): document by document within a repeat; the lists are literals.
+
+    With a cap, a plan of more calls is refused, as is a cap beyond the hard one.
+    """
+    if cap is not None and (why := Q.cap_error(docs.count() * len(models) * len(renderings) * repeats, cap)):
+        raise ValueError(why)
     each = F.explode(F.sequence(F.lit(1), F.lit(repeats)))
     lists = [F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("x")) for i, x in enumerate(xs)])) for xs in (models, renderings)]
     out = docs.select("doc").withColumn("repeat", each).withColumn("m", lists[0]).withColumn("r", lists[1])
@@ -74,6 +79,17 @@ def accuracy(grades: DataFrame) -> DataFrame:
     return cells.unionByName(cells.groupBy("model", "rendering").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total")).withColumn("kind", F.lit("all")))
 
 
+def run_summary(calls: DataFrame) -> DataFrame:
+    """(model, rendering, calls, failed, unparsed, cost, input_tokens, output_tokens) of a run.
+
+    ``calls`` has (model, rendering, attempts, reply, cost, input_tokens, output_tokens); a call without
+    reply failed, one whose reply holds no object is unparsed.
+    """
+    read = calls.withColumn("_read", answers_of("reply").isNotNull())
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return read.groupBy("model", "rendering").agg(F.sum("attempts").alias("calls"), F.count_if(F.col("reply").isNull()).alias("failed"), F.count_if(F.col("reply").isNotNull() & ~F.col("_read")).alias("unparsed"), *map(total, ("cost", "input_tokens", "output_tokens")))
+
+
 def sign_test(first: Column, second: Column) -> Column:
     """Exact two-sided sign test in the JVM: binomial weights relative to 2^n, summed in logs to stay finite."""
     n = (first + second).cast("double")

@@ -150,23 +150,53 @@ def _tokens(c: Column, prefix: str) -> list[Column]:
 
 
 def tool_report(results: DataFrame) -> DataFrame:
-    """Rows by tool, of all tools (tool null, scope all) and of the hooked ones (scope hook), dearest first."""
+    """Rows by tool, of all tools (tool null, scope all) and of the hooked ones (scope hook), dearest first.
+
+    Results are summed up once by tool; the two subtotals are sums of these rows.
+    """
     after = F.coalesce("after", "before")
     sums = [F.count("*").alias("results"), F.count("after").alias("replaced"), *_tokens(F.col("before"), "before"), *_tokens(after, "after")]
-    by_tool = results.groupBy("tool").agg(*sums).withColumn("scope", F.lit("tool"))
-    whole = lambda df, scope: df.agg(*sums).withColumn("tool", F.lit(None).cast("string")).withColumn("scope", F.lit(scope))
-    hook = results.where(F.col("tool").startswith(HOOK_PREFIX))
-    return by_tool.unionByName(whole(results, "all")).unionByName(whole(hook, "hook")).orderBy(F.desc("before_total"), "scope", "tool")
+    by_tool = results.groupBy("tool").agg(*sums)
+    names = [c for c in by_tool.columns if c != "tool"]
+    scope = lambda name, tool: F.struct(F.lit(name).alias("scope"), tool.alias("tool"))
+    nobody = F.lit(None).cast("string")
+    hooked = F.when(F.col("tool").startswith(HOOK_PREFIX), scope("hook", nobody))
+    each = by_tool.select(F.explode(F.array_compact(F.array(scope("tool", F.col("tool")), scope("all", nobody), hooked))).alias("s"), *names)
+    # the subtotals of nothing are there too
+    none = results.sparkSession.range(1).select(F.explode(F.array(scope("all", nobody), scope("hook", nobody))).alias("s"), *[F.lit(0).cast("long").alias(c) for c in names])
+    total = each.unionByName(none).groupBy("s").agg(*[F.sum(c).alias(c) for c in names])
+    return total.select("s.scope", "s.tool", *names).orderBy(F.desc("before_total"), "scope", "tool")
 
 
 def shares(report: DataFrame, billed: DataFrame) -> DataFrame:
     """(mean_later, tool_share, saving_share, hook_share): parts of the bill; null where there is none."""
-    all_, hook = report.where("scope = 'all'"), report.where("scope = 'hook'")
+    # one row with the two subtotals, so the report is made once
+    of = lambda scope, c: F.max(F.when(F.col("scope") == scope, F.col(c))).alias(f"{scope}_{c}")
+    row = report.agg(*[of(s, c) for s in ("all", "hook") for c in report.columns if c not in ("scope", "tool", "results", "replaced")])
     cost = lambda p: F.col(f"{p}_written") * F.col("write_price") + F.col(f"{p}_reread") * READ
     units = F.when(F.col("units") > 0, F.col("units"))
-    a = all_.join(F.broadcast(billed)).select(F.try_divide(F.col("before_turns"), F.col("before_total")).alias("mean_later"), (cost("before") / units).alias("tool_share"), ((cost("before") - cost("after")) / units).alias("saving_share"))
-    h = hook.join(F.broadcast(billed)).select(((cost("before") - cost("after")) / units).alias("hook_share"))
-    return a.join(F.broadcast(h))
+    saved = lambda s: (cost(f"{s}_before") - cost(f"{s}_after")) / units
+    return row.join(F.broadcast(billed)).select(
+        F.try_divide(F.col("all_before_turns"), F.col("all_before_total")).alias("mean_later"), (cost("all_before") / units).alias("tool_share"), saved("all").alias("saving_share"), saved("hook").alias("hook_share")
+    )
+
+
+def escaped(name: str) -> str:
+    """An untrusted name for a terminal: quotes, the backslash and all that is not printable are written as escapes."""
+    short = {"\t": "\\t", "\r": "\\r", "\n": "\\n", "\0": "\\0", "'": "\\'", '"': '\\"', "\\": "\\\\"}
+    return "".join(short.get(c) or (c if c.isprintable() else f"\\u{{{ord(c):x}}}") for c in name)
+
+
+def report_table(rows: list, price: str = "heuristic") -> str:
+    """The collected report as an aligned table for a reader: one line a tool, then the subtotals."""
+    scopes = {"all": "all tools", "hook": f"{HOOK_PREFIX}* (hooked)"}
+    lines = [("tool", "results", "tokens before", "tokens after", "ratio", "replaced")]
+    for r in sorted(rows, key=lambda r: r["scope"] in scopes):
+        ratio = r["after_total"] / r["before_total"] if r["before_total"] else 1.0
+        lines.append((scopes.get(r["scope"]) or escaped(r["tool"]), *map(str, (r["results"], r["before_total"], r["after_total"])), f"{ratio:.3f}", str(r["replaced"])))
+    wide = [max(len(line[k]) for line in lines) for k in range(6)]
+    body = ["  ".join([line[0].ljust(wide[0]), *(cell.rjust(w) for cell, w in zip(line[1:], wide[1:], strict=True))]) for line in lines]
+    return f"tool results, counted with {price}:\n" + "\n".join(body) + "\n"
 
 
 def counters(ev: DataFrame) -> DataFrame:
@@ -176,10 +206,11 @@ def counters(ev: DataFrame) -> DataFrame:
     return a.join(F.broadcast(sequence(ev).agg(F.count_if("compaction").alias("compactions"))))
 
 
-def hook_replaces(df: DataFrame, text: str, config: Config = Config()) -> DataFrame:
-    """Whether a tool result would be replaced by its rendering: accepted, re-encoded and cheaper."""
+def hook_replaces(df: DataFrame, text: str, config: Config = Config(), counter: L.Estimator | None = None) -> DataFrame:
+    """Whether a tool result would be replaced by its rendering: accepted, re-encoded and cheaper, in bytes or by an exact counter."""
     done = compress(df, text, config)
-    ok = F.col("artifact.error").isNull() & (F.col("artifact.stats.encoder") != 0) & (F.octet_length("artifact.rendering") < F.octet_length(F.col(text)))
+    size = F.octet_length if counter is None else counter.column
+    ok = F.col("artifact.error").isNull() & (F.col("artifact.stats.encoder") != 0) & (size(F.col("artifact.rendering")) < size(F.col(text)))
     return done.withColumn("replace", F.coalesce(ok, F.lit(False)))
 
 
