@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as L
 from ..operators import Config, compress, comprehension, decompress, grid_text, shred, table_text, tables, transcripts
+from ..operators.compress import rendering, validate
 from ..streaming import rpc
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,12 +127,12 @@ def protected_rules_by_class(spark, sf_dir):
 
 
 @_query(
-    "SELECT event_id, idx, kind, s AS \"start\", e AS \"end\", depth FROM (SELECT event_id, strlen(props) AS z FROM events), "
-    "LATERAL (VALUES (0, 'ObjectStart', 0, 1, 0), (1, 'Key', 1, 4, 1), (2, 'Number', 6, z - 1, 1), (3, 'ObjectEnd', z - 1, z, 0)) t(idx, kind, s, e, depth)"
+    "SELECT event_id, idx, kind, s AS \"start\", e AS \"end\", depth, n::bigint AS n, NULL::boolean AS b FROM (SELECT event_id, strlen(props) AS z FROM events), "
+    "LATERAL (VALUES (0, 'ObjectStart', 0, 1, 0, 1), (1, 'Key', 1, 4, 1, NULL), (2, 'Number', 6, z - 1, 1, NULL), (3, 'ObjectEnd', z - 1, z, 0, NULL)) t(idx, kind, s, e, depth, n)"
 )
 def shred_props(spark, sf_dir):
     nodes = shred(_table(spark, sf_dir, "events"), "event_id", "props")
-    return nodes.select(F.col("doc_id").alias("event_id"), "idx", "kind", "start", "end", "depth")
+    return nodes.withColumnRenamed("doc_id", "event_id")
 
 
 @_query("SELECT event_id, json(props)::varchar AS body, strlen(json(props)::varchar) / strlen(props) AS byte_ratio FROM events")
@@ -240,7 +241,19 @@ def value_census_lineitem(spark, sf_dir):
     return tables.value_census(li, ["l_returnflag"], "day")
 
 
-@_query()
+_RANKED = (
+    f"(SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY n DESC, cost DESC, lexeme) AS rn FROM (SELECT l_returnflag, l_linestatus, lexeme, count(*) AS n, {_tokens('lexeme')} AS cost "
+    "FROM (SELECT l_returnflag, l_linestatus, '\"' || l_shipdate::date::varchar || '\"' AS lexeme FROM lineitem) GROUP BY ALL HAVING count(*) > 1))"
+)
+#: An entry's reference is priced by the number of entries kept before it.
+_PAYS = f"r.n * (r.cost - {_tokens(chr(39) + chr(34) + '$' + chr(39) + ' || k.kept || ' + chr(39) + chr(34) + chr(39))}) > r.cost + 1"
+
+
+@_query(
+    f"WITH RECURSIVE r AS {_RANKED}, k AS (SELECT DISTINCT l_returnflag, l_linestatus, 0::bigint AS rn, 0::bigint AS kept, false AS pays FROM r UNION ALL "
+    f"SELECT r.l_returnflag, r.l_linestatus, r.rn, k.kept + CASE WHEN {_PAYS} THEN 1 ELSE 0 END, {_PAYS} FROM k JOIN r ON r.l_returnflag = k.l_returnflag AND r.l_linestatus = k.l_linestatus AND r.rn = k.rn + 1) "
+    "SELECT l_returnflag, l_linestatus, (kept - 1)::integer AS place, lexeme, n, cost FROM k JOIN r USING (l_returnflag, l_linestatus, rn) WHERE pays"
+)
 def legend_entries_lineitem(spark, sf_dir):
     li = _table(spark, sf_dir, "lineitem").withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd"))
     census = tables.value_census(li, ["l_returnflag", "l_linestatus"], "day")
@@ -248,20 +261,85 @@ def legend_entries_lineitem(spark, sf_dir):
     return made.select("l_returnflag", "l_linestatus", F.posexplode("legend").alias("place", "e")).select("l_returnflag", "l_linestatus", "place", "e.*")
 
 
+# --- nested and irregular documents, written out by SQL ---
+
+_DAY = "o_orderdate::date::varchar"
+
+
+def _nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as an array of nested objects, whose field at.by only finished orders have."""
+    o = _table(spark, sf_dir, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    by = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit(', "by" : "'), "o_orderpriority", F.lit('"'))).otherwise("")
+    one = F.concat(F.lit('{ "id": '), F.col("o_orderkey").cast("string"), F.lit(', "at": {"day": "'), "day", F.lit('"'), by, F.lit('}, "list" : [ 1.50, {"x" : [ ]}, "a, b]" ] }'))
+    docs = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("t")))).alias("rows"))
+    return docs.select("o_custkey", F.concat(F.lit("[ "), F.array_join(F.transform("rows", lambda r: r["t"]), " ,\n"), F.lit(" ]")).alias("content"))
+
+
+_BY = "CASE WHEN o_orderstatus = 'F' THEN '\"' || o_orderpriority || '\"' END"
+_CELLS_OF = "SELECT o_custkey, o_orderkey, '\"' || {day} || '\"' AS day, {by} AS \"by\" FROM orders".format(day=_DAY, by=_BY)
+
+
+@_query(
+    "SELECT o_custkey, '#tkfd1 grid' || chr(10) || chr(10) || '#' || count(*) || '[id,at.day' || CASE WHEN any_value(one_day) THEN '=' || min(day) ELSE '' END || CASE WHEN any_value(any_by) THEN ',at.by' || CASE WHEN any_value(one_by) THEN '=' || min(\"by\") ELSE '' END ELSE '' END || ',list=[1.50,{\"x\":[]},\"a, b]\"]]' || chr(10) || "
+    "string_agg('+' || o_orderkey || CASE WHEN one_day THEN '' ELSE ',' || day END || CASE WHEN any_by AND NOT one_by THEN ',' || coalesce(\"by\", '~') ELSE '' END || chr(10), '' ORDER BY o_orderkey) AS rendering FROM "
+    f"(SELECT *, min(day) OVER w = max(day) OVER w AS one_day, count(\"by\") OVER w > 0 AS any_by, coalesce(count(\"by\") OVER w = count(*) OVER w AND min(\"by\") OVER w = max(\"by\") OVER w, false) AS one_by FROM ({_CELLS_OF}) WINDOW w AS (PARTITION BY o_custkey)) GROUP BY o_custkey HAVING count(*) > 1"
+)
+def grid_nested_orders(spark, sf_dir):
+    return rendering(_nested_orders(spark, sf_dir), "content", 5).where("rendering is not null").select("o_custkey", "rendering")
+
+
+@_query(
+    f"SELECT o_custkey, count(*) * 19 + count(\"by\") * 2 + 2 AS nodes, count(*) * 5 + count(\"by\") AS keys, count(*) * 2 + count(\"by\") AS strings, count(*) * 2 AS numbers, 4 AS depth, count(*)::bigint AS entries, count(*) * 6 AS members FROM ({_CELLS_OF}) GROUP BY o_custkey"
+)
+def shred_nested_orders(spark, sf_dir):
+    """What the node relation of nested documents holds: by kind, the depth, and the children that containers count."""
+    nodes = shred(_nested_orders(spark, sf_dir), "o_custkey", "content")
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    sums = [F.count("*").alias("nodes"), n("Key").alias("keys"), n("String").alias("strings"), n("Number").alias("numbers"), F.max("depth").cast("int").alias("depth"), F.max(F.when(F.col("idx") == 0, F.col("n"))).alias("entries")]
+    members = F.sum(F.when((F.col("kind") == "ObjectStart") & (F.col("depth") == 1) | (F.col("kind") == "ArrayStart") & (F.col("depth") == 2), F.col("n")))
+    return nodes.groupBy(F.col("doc_id").alias("o_custkey")).agg(*sums, members.alias("members"))
+
+
+@_query(
+    "SELECT l_orderkey, l_linenumber, '#tkfd1 min' || chr(10) || '{\"k\":[' || l_orderkey || ',{\"q\":' || l_quantity::integer || '.00e+0,\"s\":\"A' || l_returnflag || 'é/\\\\\"}],\"e\":{},\"k\":[],\"t\":\"\\ud800\\u0041\"}' AS rendering FROM lineitem"
+)
+def minify_nested_lines(spark, sf_dir):
+    """White space, escapes, repeated keys and lone surrogates: lexemes stay, escapes are undone where that is safe."""
+    li = _table(spark, sf_dir, "lineitem")
+    raw = F.concat(
+        F.lit('{ "k" : [ '), F.col("l_orderkey").cast("string"), F.lit(' ,\t{ "q":'), F.col("l_quantity").cast("int").cast("string"), F.lit('.00e+0 , "s" : "\\u0041'), "l_returnflag", F.lit('\\u00e9\\/\\\\" } ] ,\n"e" : { } , "k":[ ], "t" : "\\ud800\\u0041" }\r\n')
+    )
+    return rendering(li.select("l_orderkey", "l_linenumber", raw.alias("content")), "content", 1).select("l_orderkey", "l_linenumber", "rendering")
+
+
+_BROKEN = "CASE o_orderkey % 5 WHEN 0 THEN '{\"k\":' || o_orderkey WHEN 1 THEN '{\"k\" ' || o_orderkey || '}' WHEN 2 THEN '[' || o_orderkey || ',]' WHEN 3 THEN '[\"é\",' || o_orderkey || ' 7]' ELSE repeat('[', 600) || repeat(']', 600) END"
+
+
+@_query(
+    f"SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN 'depth_exceeded' ELSE 'invalid_json' END AS code, CASE o_orderkey % 5 WHEN 0 THEN strlen(t) WHEN 1 THEN 5 WHEN 2 THEN strlen(t) - 1 WHEN 3 THEN strlen(t) - 2 END::bigint AS byte_offset, CASE WHEN o_orderkey % 5 = 4 THEN 513 END::bigint AS depth FROM (SELECT o_orderkey, {_BROKEN} AS t FROM orders)"
+)
+def rejected_orders(spark, sf_dir):
+    """Documents that are broken in five ways, with the place of the fault."""
+    key = F.col("o_orderkey").cast("string")
+    ways = [F.concat(F.lit('{"k":'), key), F.concat(F.lit('{"k" '), key, F.lit("}")), F.concat(F.lit("["), key, F.lit(",]")), F.concat(F.lit('["é",'), key, F.lit(" 7]")), F.lit("[" * 600 + "]" * 600)]
+    done = _table(spark, sf_dir, "orders").select("o_orderkey", validate(F.array(*ways)[(F.col("o_orderkey") % 5).cast("int")]).alias("e"))
+    return done.select("o_orderkey", "e.code", "e.byte_offset", "e.depth")
+
+
 # --- transcripts: the event table read as tool events of one file a user ---
 
-_KIND = "CASE event_type WHEN 'signup' THEN 'request' WHEN 'error' THEN 'boundary' WHEN 'view' THEN 'use' WHEN 'click' THEN 'result' END"
-_EV = f"(SELECT user_id, event_id, {_KIND} AS kind, event_id % 7 AS use_id, event_id % 40 AS request_id, event_id % 3 AS tool, value FROM events WHERE event_type <> 'purchase')"
+_KIND = "CASE event_type WHEN 'signup' THEN 'request' WHEN 'error' THEN 'boundary' WHEN 'view' THEN 'use' WHEN 'click' THEN 'result' ELSE 'other' END"
+_EV = f"(SELECT user_id, event_id, {_KIND} AS kind, event_id % 7 AS use_id, event_id % 40 AS request_id, event_id % 3 AS tool, value FROM events)"
 _SEQ = (
     f"(SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS requests, sum(CASE WHEN kind = 'boundary' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS segment "
-    f"FROM (SELECT *, kind = 'request' AND row_number() OVER (PARTITION BY user_id, kind, request_id ORDER BY event_id) = 1 AS new FROM {_EV}))"
+    f"FROM (SELECT *, kind = 'request' AND row_number() OVER (PARTITION BY user_id, kind, request_id ORDER BY event_id) = 1 AS new FROM {_EV} WHERE kind <> 'other'))"
 )
 
 
 def _as_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _table(spark, sf_dir, "events").where("event_type <> 'purchase'")
+    e = _table(spark, sf_dir, "events")
     kind = F.create_map(*[F.lit(x) for x in ("signup", "request", "error", "boundary", "view", "use", "click", "result")])
-    e = e.withColumn("kind", F.try_element_at(kind, "event_type"))
+    e = e.withColumn("kind", F.coalesce(F.try_element_at(kind, "event_type"), F.lit("other")))
     request, use, result = F.col("kind") == "request", F.col("kind") == "use", F.col("kind") == "result"
     usage = F.struct(F.col("user_id").alias("input"), (F.col("event_id") % 11).alias("output"), (F.col("event_id") % 101).alias("cache_read"), (F.col("event_id") % 5).alias("write_1h"), (F.col("event_id") % 3).alias("write_5m"))
     return e.select(
@@ -321,20 +399,33 @@ _RESULTS = (
     f"JOIN (SELECT user_id, event_id, kind, coalesce(last_value(CASE WHEN kind = 'use' THEN (CASE WHEN tool = 0 THEN 'mcp__' ELSE 't' END) || tool END IGNORE NULLS) OVER (PARTITION BY user_id, use_id ORDER BY event_id), '(unknown)') AS tool_name FROM {_EV} WHERE kind IN ('use', 'result')) n USING (user_id, event_id) "
     f"WHERE r.kind = 'result')"
 )
-_PROPS = f"(SELECT x.*, {_tokens('props')} AS t FROM {_RESULTS} x JOIN (SELECT event_id, props FROM events) USING (event_id))"
-_SUMS = "count(*) AS results, sum(t)::bigint AS before_total, coalesce(sum(CASE WHEN later > 0 THEN t END), 0)::bigint AS before_written, coalesce(sum(CASE WHEN later > 0 THEN t * (later - 1) END), 0)::bigint AS before_reread, sum(t * later)::bigint AS before_turns"
+# what would replace a result: its minified form, if it costs fewer tokens and fewer bytes
+_PROPS = (
+    f"(SELECT *, CASE WHEN m < t AND strlen({_FRAMED}) < strlen(props) THEN m END AS a FROM (SELECT x.*, props, {_tokens('props')} AS t, {_tokens(_FRAMED)} AS m FROM {_RESULTS} x JOIN (SELECT event_id, props FROM events) USING (event_id)))"
+)
+_PART = "sum({x})::bigint AS {p}_total, coalesce(sum(CASE WHEN later > 0 THEN {x} END), 0)::bigint AS {p}_written, coalesce(sum(CASE WHEN later > 0 THEN {x} * (later - 1) END), 0)::bigint AS {p}_reread, sum({x} * later)::bigint AS {p}_turns"
+_SUMS = f"count(*) AS results, count(a) AS replaced, {_PART.format(x='t', p='before')}, {_PART.format(x='coalesce(a, t)', p='after')}"
+_REPORT = f"SELECT 'tool' AS scope, tool_name AS tool, {_SUMS} FROM {_PROPS} GROUP BY tool_name UNION ALL SELECT 'all', NULL, {_SUMS} FROM {_PROPS} UNION ALL SELECT 'hook', NULL, {_SUMS} FROM {_PROPS} WHERE starts_with(tool_name, 'mcp__')"
 
 
-@_query(f"SELECT 'tool' AS scope, tool_name AS tool, {_SUMS} FROM {_PROPS} GROUP BY tool_name UNION ALL SELECT 'all', NULL, {_SUMS} FROM {_PROPS} UNION ALL SELECT 'hook', NULL, {_SUMS} FROM {_PROPS} WHERE starts_with(tool_name, 'mcp__')")
+@_query(_REPORT)
 def tool_report(spark, sf_dir):
-    report = transcripts.tool_report(transcripts.measured_results(_as_events(spark, sf_dir)))
-    return report.select("scope", "tool", "results", "before_total", "before_written", "before_reread", "before_turns")
+    return transcripts.tool_report(transcripts.measured_results(_as_events(spark, sf_dir)))
 
 
-@_query()
+_UNITS = f"(SELECT (i + f * 1.25::double + h * 2 + c * 0.1::double + o * 5) AS units, (i + f * 1.25::double + h * 2) / (i + f + h) AS price FROM (SELECT sum(u.input)::double AS i, sum(u.write_5m) AS f, sum(u.write_1h) AS h, sum(u.cache_read) AS c, sum(u.output) AS o FROM {_LAST}))"
+_COST = "({s}.{p}_written * price + {s}.{p}_reread * 0.1::double)"
+
+
+@_query(
+    f"SELECT round(a.before_turns::double / a.before_total, 9) AS mean_later, round({_COST.format(s='a', p='before')} / units, 9) AS tool_share, "
+    f"round(({_COST.format(s='a', p='before')} - {_COST.format(s='a', p='after')}) / units, 9) AS saving_share, round(({_COST.format(s='h', p='before')} - {_COST.format(s='h', p='after')}) / units, 9) AS hook_share "
+    f"FROM (SELECT * FROM ({_REPORT}) WHERE scope = 'all') a, (SELECT * FROM ({_REPORT}) WHERE scope = 'hook') h, {_UNITS}"
+)
 def tool_shares(spark, sf_dir):
     ev = _as_events(spark, sf_dir)
-    return transcripts.shares(transcripts.tool_report(transcripts.measured_results(ev)), transcripts.bill(ev))
+    made = transcripts.shares(transcripts.tool_report(transcripts.measured_results(ev)), transcripts.bill(ev))
+    return made.select(*[F.round(c, 9).alias(c) for c in made.columns])
 
 
 # --- comprehension: lists are the orders of a customer or the lines of an order ---
@@ -391,13 +482,17 @@ def accuracy_grid(spark, sf_dir):
 
 
 
+_LOG_BINOMIAL = "lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) - n * ln(2.0)"
+
+
 @_query(
+    f"SELECT *, round(least(1.0, 2 * list_sum(list_transform(range(0, least(only_first, only_second) + 1), lambda i: exp({_LOG_BINOMIAL.replace('n ', '(only_first + only_second) ').replace('(n', '((only_first + only_second)')})))), 9) AS p FROM ("
     f"SELECT a.model, count(*) FILTER (WHERE a.correct AND b.correct) AS \"both\", count(*) FILTER (WHERE a.correct AND NOT b.correct) AS only_first, count(*) FILTER (WHERE NOT a.correct AND b.correct) AS only_second, count(*) FILTER (WHERE NOT a.correct AND NOT b.correct) AS neither "
-    f"FROM (SELECT model, \"repeat\", qid, bool_and(correct) AS correct FROM {_GRADES} WHERE rendering = 'grid' GROUP BY ALL) a JOIN (SELECT model, \"repeat\", qid, bool_and(correct) AS correct FROM {_GRADES} WHERE rendering = 'input' GROUP BY ALL) b USING (model, \"repeat\", qid) GROUP BY a.model"
+    f"FROM (SELECT model, \"repeat\", qid, bool_and(correct) AS correct FROM {_GRADES} WHERE rendering = 'grid' GROUP BY ALL) a JOIN (SELECT model, \"repeat\", qid, bool_and(correct) AS correct FROM {_GRADES} WHERE rendering = 'input' GROUP BY ALL) b USING (model, \"repeat\", qid) GROUP BY a.model)"
 )
 def paired_comparison(spark, sf_dir):
     once = _grades(spark, sf_dir).groupBy("model", "rendering", "repeat", "qid").agg(F.bool_and("correct").alias("correct"))
-    return comprehension.paired(once, "grid", "input").drop("p")
+    return comprehension.paired(once, "grid", "input").withColumn("p", F.round("p", 9))
 
 
 @_query(
@@ -408,16 +503,24 @@ def sign_tests(spark, sf_dir):
     return pairs.select("b", "c", F.round(1000003 * comprehension.sign_test(F.col("b"), F.col("c"))).cast("long").alias("p"))
 
 
-@_query("SELECT rep AS \"repeat\", doc, model, rendering FROM (SELECT doc_id AS doc FROM documents), unnest([1, 2]) a(rep), unnest(['small', 'large']) b(model), unnest(['input', 'grid']) c(rendering)")
+@_query("SELECT rep AS \"repeat\", doc, model, rendering, i, j FROM (SELECT doc_id AS doc FROM documents), unnest([1, 2]) a(rep), (VALUES ('small', 0), ('large', 1)) b(model, i), (VALUES ('input', 0), ('grid', 1)) c(rendering, j)")
 def plan_calls(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"))
-    return comprehension.plan_calls(docs, ["small", "large"], ["input", "grid"], 2).drop("place")
+    return comprehension.plan_calls(docs, ["small", "large"], ["input", "grid"], 2).select("repeat", "doc", "model", "rendering", "place.i", "place.j")
 
 
 # --- messages ---
 
 
-@_query()
+_STATS = (
+    "'{\"bytesBefore\":' || z || ',\"bytesAfter\":' || z || ',\"estTokensBefore\":' || t || ',\"estTokensAfter\":' || t || ',\"encoder\":\"passthrough\",\"byteRatio\":1.0,\"tokenRatio\":1.0,\"fidelity\":\"lossless\"}'"
+)
+
+
+@_query(
+    "SELECT event_id, '{\"jsonrpc\":\"2.0\",\"id\":' || event_id || ',\"result\":{\"content\":[{\"type\":\"text\",\"text\":\"' || replace(stats, '\"', '\\\"') || '\"}],\"structuredContent\":{\"compressed\":false,\"stats\":' || stats || '},\"isError\":false}}' AS reply "
+    f"FROM (SELECT event_id, {_STATS} AS stats FROM (SELECT event_id, strlen(props) AS z, {_tokens('props')} AS t FROM events))"
+)
 def rpc_estimate_props(spark, sf_dir):
     """Each event's properties sent as a call of the estimate tool, answered line by line."""
     e = _table(spark, sf_dir, "events")

@@ -10,6 +10,7 @@ from loomwright import functions as L
 from loomwright import plans, sources
 from loomwright.kernel import archive, messages, parse, price, protocol, questions
 from loomwright.operators import Config, compress, comprehension, decompress, grid_text, shred, tables, transcripts
+from loomwright.operators.compress import exact_counts
 from loomwright.streaming import rpc
 
 TABLE = "[" + ", ".join(f'{{"id": {i}, "name": "item {i}", "ok": true}}' for i in range(20)) + "]"
@@ -46,6 +47,30 @@ def test_margin_and_profiles(spark):
         L.exact_estimator("o200k")
 
 
+def test_exact_counts(spark, tmp_path):
+    # a vocabulary of the 256 bytes and three merges: counts follow from how the patterns cut
+    ranks = [bytes([b]) for b in range(256)] + [b"12", b"ab", b"Ab"]
+    path = tmp_path / "ranks"
+    path.write_text("".join(f"{base64.b64encode(r).decode()} {i}\n" for i, r in enumerate(ranks)))
+    counters = {name: L.exact_estimator(name, str(path)) for name in ("cl100k", "o200k")}
+    # digits go in threes, a mark joins the letters behind it, letters of both cases are cut by the second pattern only
+    for text, one, two in [("12", 1, 1), ("121212", 4, 4), ("abab", 2, 2), ("xAb", 2, 2), ("a/b\n/ab", 6, 6), ("", 0, 0), ("<|endoftext|>", 13, 13), ("'S12", 3, 3)]:
+        assert (counters["cl100k"].scalar(text), counters["o200k"].scalar(text)) == (one, two), text
+    assert [c.id for c in counters.values()] == [2, 3]
+    df = spark.createDataFrame([(0, TABLE), (1, '{"a":1}'), (2, "prose"), (3, None)], "i int, t string")
+    counter = counters["cl100k"]
+    got = {r["i"]: r for r in exact_counts(compress(df, "t"), "t", counter).collect()}
+    assert got[0]["exact"]["before"] == counter.scalar(TABLE) and got[0]["exact"]["after"] == counter.scalar(got[0]["artifact"]["rendering"]) < got[0]["exact"]["before"]
+    assert (got[1]["exact"]["before"], got[1]["exact"]["after"], got[1]["exact"]["ratio"], got[1]["exact"]["tokenizer_id"]) == (7, 7, 1.0, 2)
+    assert got[2]["exact"] is None and got[3]["exact"] is None
+    by_bytes = {r["i"]: r["replace"] for r in transcripts.hook_replaces(df, "t").collect()}
+    exactly = {r["i"]: r["replace"] for r in transcripts.hook_replaces(df, "t", counter=counter).collect()}
+    assert by_bytes == exactly == {0: True, 1: False, 2: False, 3: False}
+    # dearer by an exact price, though shorter in bytes
+    dear = L.Estimator("dear", 9, lambda c: F.when(c.startswith("#"), 10**6).otherwise(1), len)
+    assert not transcripts.hook_replaces(df.where("i = 0"), "t", counter=dear).first()["replace"]
+
+
 def test_archives_fail_closed(spark):
     good = archive.pack(b"hello")
     cases = [(good, None), (b"", "bad_magic"), (b"XKFD" + good[4:], "bad_magic"), (good[:4], "corrupt"), (good[:4] + b"\2" + good[5:], "unsupported_version"), (good[:4] + b"\0" + good[5:], "corrupt"), (good[:5] + b"\1" + good[6:], "corrupt"), (good[:8] + b"\x08" + good[9:], "reserved_bits_set"), (good[:8] + b"\1" + good[9:], "corrupt"), (good[:10] + b"\x85\0" + good[11:], "corrupt"), (good + b"x", "corrupt"), (good[:-1] + b"x", "checksum_mismatch"), (good[:20], "corrupt"), (None, None)]
@@ -126,6 +151,12 @@ def test_transcripts(spark, tmp_path):
     s = transcripts.shares(report, transcripts.bill(ev)).first()
     assert s["mean_later"] == pytest.approx((before * 2 + 7) / (before + 7))
     assert s["tool_share"] == pytest.approx((before * 1.9 + 7 * 1.8) / 330)
+    nothing = {r["scope"]: (r["tool"], r["results"], r["after_total"]) for r in transcripts.tool_report(results.limit(0)).collect()}
+    assert nothing == {"all": (None, 0, 0), "hook": (None, 0, 0)}
+    lines = report.collect()
+    table = transcripts.report_table([*lines, lines[0].asDict() | {"scope": "tool", "tool": "a\x1b[2J'\n\u202e"}]).splitlines()
+    assert table[1].split()[:2] == ["tool", "results"] and any(x.startswith("mcp__srv__list") for x in table) and table[-2].startswith("all tools")
+    assert any(x.startswith("a\\u{1b}[2J\\'\\n\\u{202e} ") for x in table) and len({len(x) for x in table[1:]}) == 1
     assert [s["saving_share"], s["hook_share"]] == [pytest.approx((before - after) * 1.9 / 330)] * 2
 
 
@@ -147,7 +178,14 @@ def test_messages():
     assert ask("initialize", {"protocolVersion": "2025-06-18"}, session=session)["result"]["protocolVersion"] == "2025-06-18"
     assert ask("initialize", {"protocolVersion": "2025-06-18"}, session=session)["error"]["code"] == -32600
     assert ask("ping")["result"] == {} and ask("nope")["error"]["code"] == -32601
-    assert ask("ping", {"_meta": {"protocolVersion": "1999-01-01"}})["error"]["code"] == -32022
+    assert ask("ping", {"_meta": {messages.VERSION_KEY: "1999-01-01"}})["error"]["code"] == -32022
+    modern = {messages.VERSION_KEY: messages.FIRST_MODERN}
+    for meta, code in (("2025-11-25", -32602), ({messages.VERSION_KEY: 5}, -32602), (modern, -32602), (modern | {messages.ABILITIES_KEY: []}, -32602), (modern | {messages.ABILITIES_KEY: {}}, None), ({messages.VERSION_KEY: "2024-11-05"}, None), ({}, None)):
+        assert ask("ping", {"_meta": meta}).get("error", {}).get("code") == code
+    assert ask("initialize", {})["result"]["protocolVersion"] == ask("initialize", {"protocolVersion": messages.FIRST_MODERN})["result"]["protocolVersion"] == "2025-11-25"
+    told = ask("server/discover")["result"]
+    assert told["supportedVersions"][0] == messages.FIRST_MODERN and told["serverInfo"]["name"] and told["instructions"] and (told["ttlMs"], told["cacheScope"]) == (3_600_000, "public")
+    assert ask("tools/list", {"cursor": "x"})["error"]["code"] == -32602 and ask("tools/list", {"cursor": None})["result"]["cacheScope"] == "public"
     assert [t["name"] for t in ask("tools/list")["result"]["tools"]] == ["compress", "decompress", "estimate"]
     done = ask("tools/call", {"name": "compress", "arguments": {"text": TABLE}})["result"]
     assert done["structuredContent"]["compressed"] and done["content"][0]["text"].startswith("#tkfd1 grid")
@@ -165,6 +203,12 @@ def test_messages():
     assert [r["id"] for r in both] == [1, "b"]
     small = json.loads(say('{"jsonrpc":"2.0","id":7,"method":"tools/list"}', 120))
     assert small["id"] == 7 and "error" in small
+    # a member that does not fit is refused alone, and the batch goes on while refusals fit
+    ping, wide = '{"jsonrpc":"2.0","id":%d,"method":"ping"}', '{"jsonrpc":"2.0","id":%d,"method":"tools/list"}'
+    batch = f"[{ping % 1},{wide % 2},{ping % 3}]"
+    some = json.loads(say(batch, 400))
+    assert [(r["id"], "error" in r) for r in some] == [(1, False), (2, True), (3, False)] and "of 400 bytes" in some[1]["error"]["message"]
+    assert json.loads(say(batch, 130))["error"]["code"] == -32603
 
 
 def test_message_stream(spark, tmp_path):
@@ -197,6 +241,13 @@ def test_comprehension(spark):
     assert (pair["both"], pair["only_first"], pair["only_second"], pair["neither"]) == (8, 0, len(rows) - 8, 0)
     assert pair["p"] == pytest.approx(questions.sign_test(0, len(rows) - 8), rel=1e-9)
     assert comprehension.plan_calls(df.select("doc"), ["a", "b"], ["x"], 2).count() == 32
+    assert comprehension.plan_calls(df.select("doc"), ["a", "b"], ["x"], 2, cap=32).count() == 32
+    for cap in (31, 0, 201):
+        with pytest.raises(ValueError, match="cap"):
+            comprehension.plan_calls(df.select("doc"), ["a", "b"], ["x"], 2, cap=cap)
+    calls = [("m", "grid", 1, '{"Q1": 2}', 0.5, 10, 3), ("m", "grid", 3, "no object", 0.25, 20, 4), ("m", "grid", 3, None, 0.0, None, None), ("m", "input", 1, "{}", 0.125, 5, 1)]
+    run = {r["rendering"]: tuple(r)[2:] for r in comprehension.run_summary(spark.createDataFrame(calls, "model string, rendering string, attempts int, reply string, cost double, input_tokens int, output_tokens int")).collect()}
+    assert run == {"grid": (7, 1, 1, 0.75, 30, 7), "input": (1, 0, 0, 0.125, 5, 1)}
     assert questions.cap_error(10, 9) and questions.cap_error(1, 201) and questions.cap_error(1, 0) and questions.cap_error(9, 9) is None
     assert questions.sign_test(0, 0) == 1 and questions.sign_test(1, 8) == pytest.approx(0.0390625)
     assert questions.parse_answers('x {"a": 1} y') == {"a": 1.0} and questions.parse_answers("[1]") is None
