@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,18 +18,28 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; in its absence (tests) a folder of our own."""
+    """The cluster's spark.checkpoint.dir; in its absence, in one process with the driver (tests), a folder of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lw-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is not used yet; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/lw-{name}-{uuid.uuid4().hex}"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lw-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -42,26 +57,48 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 2 << 20) ->
             spark.conf.set(key, str(most))
 
 
+#: What Python code of this package holds between tasks of a worker, by its owner: how to let go of it.
+HELD: dict[str, Callable[[], None]] = {}
+_owner: list[str] = []
+
+
+def takes_over(owner: str) -> None:
+    """To be called by Python code on a worker: lets go of what other operators' code left there, as workers outlive stages."""
+    if _owner == [owner]:
+        return
+    _owner[:] = [owner]
+    for name, let_go in HELD.items():
+        if name != owner:
+            let_go()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library can, freed pages go back to the system
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running(df: DataFrame, key: str, uid: str, name: str, value: str | None = None, per: int = 4096) -> DataFrame:
-    """Add ``name``: the sum of ``value`` (null: a count) over the rows of the same ``key`` that come before a row.
+def running(df: DataFrame, key: str | None, uid: str, name: str, value: str | None = None, per: int = 1024) -> DataFrame:
+    """Add ``name``: the sum of ``value`` (null: a count) over the rows of the same ``key`` (null: all rows) that come before a row.
 
     Rows of a key are dealt into hash blocks of the unique ``uid``, the blocks get offsets from their
     sums, and only rows of one block are ordered together, so a hot key is never in one task. ``df`` must
     be a written table, of which ``uid`` is part, and ``key`` an integer of few values.
     """
-    step = F.lit(1) if value is None else F.col(value)
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("_n") / per)).cast("long")
-    keyed = df.join(small(counts), key).withColumn("_b", F.pmod(F.xxhash64(F.lit(11), F.col(uid)), blocks)).drop("_n")
-    sums = keyed.groupBy(key, "_b").agg(F.sum(step).alias("_c")).withColumn("_g", F.floor(F.col("_b") / 1024))
+    step, keys = F.lit(1) if value is None else F.col(value), [key] if key else []
+    if key:
+        counted, n = df.join(small(df.groupBy(key).agg(F.count("*").alias("_n"))), key), F.col("_n")
+    else:
+        counted, n = df, F.lit(df.count())
+    blocks = F.greatest(F.lit(1), F.ceil(n / per)).cast("long")
+    keyed = counted.withColumn("_b", F.pmod(F.xxhash64(F.lit(11), F.col(uid)), blocks)).drop("_n")
+    sums = keyed.groupBy(*keys, "_b").agg(F.sum(step).alias("_c")).withColumn("_g", F.floor(F.col("_b") / 1024))
     # the blocks of a key are summed up in two steps, so no window has many rows
-    outer = sums.groupBy(key, "_g").agg(F.sum("_c").alias("_s"))
-    outer = outer.withColumn("_o", F.sum("_s").over(Window.partitionBy(key).orderBy("_g")) - F.col("_s"))
-    inner = sums.withColumn("_i", F.sum("_c").over(Window.partitionBy(key, "_g").orderBy("_b")) - F.col("_c"))
-    offsets = small(inner.join(outer.select(key, "_g", "_o"), [key, "_g"]).select(key, "_b", (F.col("_i") + F.col("_o")).alias("_at")))
-    before = F.sum(step).over(Window.partitionBy(key, "_b").orderBy(uid).rowsBetween(Window.unboundedPreceding, 0)) - step
-    return keyed.withColumn("_w", before).join(offsets, [key, "_b"]).withColumn(name, (F.col("_at") + F.col("_w")).cast("long")).drop("_b", "_at", "_w")
+    outer = sums.groupBy(*keys, "_g").agg(F.sum("_c").alias("_s"))
+    outer = outer.withColumn("_o", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_g")) - F.col("_s"))
+    inner = sums.withColumn("_i", F.sum("_c").over(Window.partitionBy(*keys, "_g").orderBy("_b")) - F.col("_c"))
+    offsets = small(inner.join(outer.select(*keys, "_g", "_o"), [*keys, "_g"]).select(*keys, "_b", (F.col("_i") + F.col("_o")).alias("_at")))
+    before = F.sum(step).over(Window.partitionBy(*keys, "_b").orderBy(uid).rowsBetween(Window.unboundedPreceding, 0)) - step
+    return keyed.withColumn("_w", before).join(offsets, [*keys, "_b"]).withColumn(name, (F.col("_at") + F.col("_w")).cast("long")).drop("_b", "_at", "_w")
