@@ -38,7 +38,7 @@ class Metric:
     #: a test on the columns that both sides of a key carry, before pairs are made distinct
     key_test: Callable[[str, str], Column] | None = None
     carried: tuple[str, ...] = ()
-    #: (id, centre, feat) -> (centre, feat, n) of a better centre for the n items, and such a centre's keys
+    #: (id, centre, feat) -> (centre, feat, n) of a better centre for the n items (ids from 0 on), and such a centre's keys
     consensus: Callable[[DataFrame], DataFrame] | None = None
     centre_keys: Callable[[Column], Column] | None = None
     #: the Arrow function that links two blocks of a family (a, b, same) -> (i, w, j)
@@ -58,7 +58,8 @@ def _agreed(to: DataFrame, met: DataFrame, have: DataFrame, metric: Metric) -> t
     blocks, not written out.
     """
     members = _attach(to.union(to.select("centre", "centre")).distinct(), "id", have, "feat")
-    made = materialize(metric.consensus(members).select(F.xxhash64(F.lit(41), "centre").alias("id"), "feat", "n"), "consensus")
+    # items are numbered from 0 on, so these names are no item's
+    made = materialize(metric.consensus(members).select((F.lit(-1) - F.col("centre")).alias("id"), "feat", "n"), "consensus")
     names = made.select("n", "id", F.explode(metric.centre_keys(F.col("feat"))).alias("key")).groupBy("key").agg(F.max(F.struct("n", "id")).alias("top"))
     tries = met.select("id", "key").join(names, "key").select("id", F.col("top.id").alias("centre"), F.col("top.n").alias("n")).distinct()
     far = _attach(_attach(tries, "id", have, "fa"), "centre", made, "fb").select("id", "centre", "n", metric.distance(F.col("fa"), F.col("fb")).alias("r"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType
 
-from .common import materialize, small, small_batches
+from .common import materialize, small, small_batches, takes_over
 from .cover import MARGIN, Metric, links
 
 SHINGLE = 5
@@ -85,6 +85,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches):
+    takes_over("jaccard_join")
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
         for at in range(0, len(ids), 256):
@@ -172,6 +173,7 @@ def block_linker(threshold: float, tolerance: float):
     least = least_equal(threshold, tolerance)
 
     def run(batches):
+        takes_over("jaccard_join")
         for batch in batches:
             for row in range(batch.num_rows):
                 same = batch.column(2)[row].as_py()
@@ -245,10 +247,11 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(df.sparkSession)
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     signed = materialize(base.mapInArrow(_sign, "id long, d1 long, d2 long, sig binary, keys array<long>"), "signatures")
-    classes = materialize(signed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("weight")), "classes")
-    # one id may stand for several classes if its rows hold several texts: the class is then known by its digest
-    reps = signed.join(classes, ["d1", "d2"]).where("id = rep").select(F.col("d1").alias("id"), "d2", "rep", "weight", "sig", "keys").dropDuplicates(["id"])
-    items = materialize(reps, "items")
+    # a class is named by a number of its own, not by a part of its digest
+    classes = signed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("weight"))
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    reps = signed.join(classes, ["d1", "d2"]).where("id = rep").select(F.col("class").alias("id"), "d1", "d2", "rep", "weight", "sig", "keys")
+    items = materialize(reps.dropDuplicates(["id"]), "items")
     limit = 1 - threshold
     keep = pruner(tolerance)
     sig = items.select("id", "sig")
@@ -260,17 +263,17 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return both.where(keep(F.col("sig_a"), F.col("sig_b"), least)).drop("sig_a", "sig_b")
 
     def texts(ids: DataFrame) -> DataFrame:
-        wanted = small(items.select("id", "rep", "d2").join(ids, "id"))
-        held = base.join(wanted.select(F.col("rep").alias("id"), F.col("id").alias("d1"), "d2"), "id")
-        return held.where(same_words(F.col("text"), F.col("d1"), F.col("d2"))).groupBy(F.col("d1").alias("id")).agg(F.max("text").alias("text")).select("id", fingerprint_sets("text").alias("feat"))
+        wanted = small(items.join(ids, "id").select(F.col("id").alias("class"), F.col("rep").alias("id"), "d1", "d2"))
+        held = base.join(wanted, "id").where(same_words(F.col("text"), F.col("d1"), F.col("d2")))
+        return held.groupBy(F.col("class").alias("id")).agg(F.max("text").alias("text")).select("id", fingerprint_sets("text").alias("feat"))
 
     metric = Metric(jaccard_distance, lambda a, b: jaccard(a, b) >= threshold, limit, prune, consensus=majority, centre_keys=keys_of, block=block_linker(threshold, tolerance / 100))
     found = links(items.select("id", F.explode("keys").alias("key")), texts, items.select("id", "weight"), metric, votes)
     named = found.join(items.select("id", "rep"), "id")
-    # components are named by digests until here; their name is the smallest doc_id
+    # components are named by classes until here; their name is the smallest doc_id
     names = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = named.join(names, "component").select(F.col("id").alias("d1"), "n_links", "class_id")
-    by_class = classes.join(named, "d1", "left").select("d1", "d2", "weight", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    named = named.join(names, "component").select(F.col("id").alias("class"), "n_links", "class_id")
+    by_class = classes.join(named, "class", "left").select("d1", "d2", "weight", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     member = signed.select("id", "d1", "d2").distinct().join(by_class, ["d1", "d2"])
     each = member.groupBy("id").agg(F.min(F.struct("class_id", "n_links", "weight")).alias("x"))
     out = base.select("id").distinct().join(each, "id", "left")
