@@ -20,8 +20,13 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-label)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+from .common import small_batches, takes_over
+
+#: An attribute as the HTML standard reads it: quotes mean something only right behind the equals sign.
+_VALUE = r"""\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>"'][^\s>]*+))?+"""
+_ATTR = re.compile(rf"""(=?+[^\s/>=]++|=)(?:{_VALUE})?+""")
+_REST = r"""(?:[\s/]++|(?:=?+[^\s/>=]++|=)(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+)*+"""
+_TAG = re.compile(rf"""<!--(?:-?>|.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_REST})(?:>|\Z)|<(?:[!?]|/[^a-zA-Z])[^>]*(?:>|\Z)|</>""", re.S)
 _RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
@@ -49,13 +54,24 @@ class Node:
 def parse(page: str) -> Node:
     root = Node("#root", "", None)
     at, place = root, 0
+    open_: dict[str, int] = {}  # how many elements of a tag are open: an end tag of none is passed over at once
 
-    def close(tags: set, until: set) -> None:
+    def leave(node: Node) -> None:
+        """Close an open element and all within it."""
         nonlocal at
+        while True:
+            open_[at.tag] -= 1
+            last, at = at, at.parent
+            if last is node:
+                return
+
+    def close(tags: set, until: set) -> None:
+        if not any(open_.get(t) for t in tags):
+            return
         node = at
         while node is not root and node.tag not in until:
             if node.tag in tags:
-                at = node.parent
+                leave(node)
                 return
             node = node.parent
 
@@ -73,11 +89,11 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = at
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                at = node.parent
+            if open_.get(tag):
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                leave(node)
             continue
         if tag in _BLOCK:
             close({"p"}, {"table", "button", "td", "th", "li", "div", "article", "section", "blockquote", "body"})
@@ -90,12 +106,17 @@ def parse(page: str) -> Node:
             stop = end.start() if end else len(page)
             node.children.append(page[place:stop])
             place = end.end() if end else len(page)
-        elif tag not in _VOID and not m[3].rstrip().endswith("/"):
+        elif tag not in _VOID:
             at = node
+            open_[tag] = open_.get(tag, 0) + 1
 
 
 def _attributes(node: Node) -> dict[str, str]:
-    return {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(node.attrs)} if node.attrs else {}
+    """The attributes of an element; of one that is repeated the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTR.findall(node.attrs):
+        out.setdefault(name.lower(), html.unescape("".join(values)))
+    return out
 
 
 def _boilerplate(node: Node, in_article: bool) -> bool:
@@ -260,6 +281,7 @@ def main_text(page: str | None) -> str:
 
 
 def _extract(batches):
+    takes_over("html_extract")
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             texts = [main_text(p) for p in batch.column(batch.num_columns - 1).slice(at, 256).to_pylist()]
@@ -268,6 +290,7 @@ def _extract(batches):
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", page_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
+    small_batches(df.sparkSession)
     rows = df.select(id_col, url_col, df[page_col].cast("string").alias("_page"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (id_col, url_col))
     return rows.mapInArrow(_extract, f"{kinds}, text string, n_chars long")
