@@ -7,13 +7,15 @@ codewords lie furthest apart. A text gets the codeword with the least loss: the
 each bit's margin, weighted by how well that bit was predicted on the training rows. The score is the
 winner's share under a softmax of the losses; a text is flagged ambiguous if the runner-up is close.
 
-Training takes at most ``per_lang`` documents of each language (those with the smallest hash of their
-id) and at most ``max_langs`` languages (the most frequent), the documented bounds of what reaches the
-driver; prediction reads every whole text.
+Every language is learned. Training takes about ``per_lang`` documents of each, fewer if all together
+would be more than ``rows`` (those whose hash of id, text and language lies lowest; repeated rows count
+once), the documented bound of what reaches the driver; prediction reads every whole text. More than
+``MAX_LANGS`` languages are refused: that is no column of languages.
 
 Edge cases: a text that is null or has no letter gets `und` with score 0; without labelled rows every
-text gets `und`; with one learned language every text with a letter gets it with score 1; rows that
-repeat count each; other columns are ignored; an empty table gives an empty result.
+text gets `und`; with one learned language every text with a letter gets it with score 1; languages of
+equal shares give the first by code point; rows that repeat are told alike; other columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small, small_batches, takes_over
+
 UND = "und"
+MAX_LANGS = 4096
 DIM = 1 << 13
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -116,32 +121,39 @@ def fit(x: np.ndarray, y: list[str], steps: int = 300, decay: float = 1e-5) -> M
 
 
 def _featurise(batches):
+    takes_over("language_id")
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
             rows = [(lang, features(text)) for text, lang in zip(batch.column(0).slice(at, 128).to_pylist(), batch.column(1).slice(at, 128).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].astype(np.float16).tobytes() for r in rows], pa.binary())], names=["lang", "x"])
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, max_langs: int = 64) -> Model | None:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, rows: int = 51_200) -> Model | None:
     """Fit on a bounded sample of the labelled rows of ``df``; None if there are none."""
-    rows = df.select(F.xxhash64(F.lit(3), F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    if not langs:
+    spark = df.sparkSession
+    small_batches(spark)
+    told = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
+    counts = told.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages in column {lang_col}")
+    if not counts:
+        return None
+    # of n rows, so many lie below this bound of a uniform hash as are wanted
+    want = min(per_lang, max(1, rows // len(counts)))
+    bounds = spark.createDataFrame([(r["lang"], 2**64 * min(want, r["count"]) // r["count"] - 2**63 - 1) for r in counts], "lang string, bound long")
+    hashed = told.withColumn("h", F.xxhash64(F.lit(3), "id", "text", "lang")).join(small(bounds), "lang").where("h <= bound")
+    once = hashed.where(F.col("text").rlike(r"\p{L}")).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    got = sorted((r["lang"], bytes(r["x"])) for r in once.select("text", "lang").mapInArrow(_featurise, "lang string, x binary").limit(2 * rows).collect())
+    if not got:
         return None
-    # each hash block gives its first rows, so no language is gathered in one task
-    block = rows.where(F.col("lang").isin(langs)).withColumn("b", F.pmod("h", F.lit(64)))
-    first = block.select("lang", "b", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang", "b").orderBy("h"))).where(F.col("r") <= per_lang)
-    last = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_lang).groupBy("lang").agg(F.max("h").alias("last")).collect()
-    picked = F.lit(False)
-    for r in last:
-        picked = picked | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["last"]))
-    sample = rows.where(picked).select("text", "lang").mapInArrow(_featurise, "lang string, x binary")
-    got = sorted((r["lang"], bytes(r["x"])) for r in sample.limit(2 * per_lang * len(langs)).collect())
     return fit(np.array([np.frombuffer(x, np.float16) for _, x in got], dtype=np.float32), [lang for lang, _ in got])
 
 
-def _predictor(model: Model | None, closeness: float):
+def _predictor(model: Model | None, closeness: float, with_text: bool):
+    first = 1 if with_text else 2
+
     def run(batches):
+        takes_over("language_id")
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 ids, texts = batch.column(0).slice(at, 128), batch.column(1).slice(at, 128).to_pylist()
@@ -152,18 +164,20 @@ def _predictor(model: Model | None, closeness: float):
                     for i, row, best in zip(some, shares, order, strict=True):
                         lang[i], score[i] = model.langs[int(row.argmax())], float(min(1.0, best[-1]))
                         unsure[i] = len(best) > 1 and bool(best[-2] > closeness * best[-1])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lang), pa.array(score, pa.float64()), pa.array(unsure), *(batch.column(c).slice(at, 128) for c in range(2, batch.num_columns))], names=["id", "lang_pred", "score", "ambiguous", *batch.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(lang), pa.array(score, pa.float64()), pa.array(unsure), *(batch.column(c).slice(at, 128) for c in range(first, batch.num_columns))], names=["id", "lang_pred", "score", "ambiguous", *batch.schema.names[first:]])
 
     return run
 
 
-def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", closeness: float = 0.8, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score, ambiguous, *extra) of every row of ``df``."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *extra)
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in extra)
+def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", closeness: float = 0.8, extra: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score, ambiguous[, text], *extra) of every row of ``df``."""
+    small_batches(df.sparkSession)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"extra_{i}") for i, c in enumerate(extra)))
+    kept = (["text"] if with_text else []) + [f"extra_{i}" for i in range(len(extra))]
+    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in kept)
     id_kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(_predictor(model, closeness), f"id {id_kind}, lang_pred string, score double, ambiguous boolean" + (", " + kinds if kinds else ""))
-    return out.withColumnRenamed("id", id_col)
+    out = rows.mapInArrow(_predictor(model, closeness, with_text), f"id {id_kind}, lang_pred string, score double, ambiguous boolean{kinds}")
+    return out.withColumnsRenamed({"id": id_col, "text": text_col} | {f"extra_{i}": c for i, c in enumerate(extra)})
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
