@@ -87,16 +87,20 @@ class Mix:
     shards: DataFrame
 
 
-def _rows(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+def _rows(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, key_col: str | None) -> DataFrame:
     text = F.col(text_col).cast("string")
     # rows that repeat an id differ by their text; equal rows are told apart by nothing, and need not be
-    return df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("h"))
+    return df.select(*([F.col(key_col).alias("key")] if key_col else []), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("h"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 17) -> DataFrame:
-    """(row, id, source, size, source_size, target, taken, h, block) of every document, as a written table; row is a number of its own."""
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 17, key_col: str | None = None) -> DataFrame:
+    """(row, id, source, size, source_size, target, taken, h, block[, key]) of every document, as a written table.
+
+    row is a number of its own; key is the caller's, if ``key_col`` names a column that tells rows apart.
+    """
     spark = df.sparkSession
-    rows = materialize(_rows(df, id_col, text_col, source_col, seed).withColumn("block", F.pmod("h", F.lit(BLOCKS)).cast("int")).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    key = ["key"] if key_col else []
+    rows = materialize(_rows(df, id_col, text_col, source_col, seed, key_col).withColumn("block", F.pmod("h", F.lit(BLOCKS)).cast("int")).withColumn("row", F.monotonically_increasing_id()), "sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("s")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -133,7 +137,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     edge = edge.withColumn("more", F.greatest(F.lit(0), F.least("size", F.col("last") - F.col("before")))).drop("before")
     rest = at.where(~F.coalesce(inside, F.lit(False))).withColumn("more", F.when(whole, F.col("size")).otherwise(F.lit(0)))
     out = rest.unionByName(edge).withColumn("taken", (F.col("size") * F.col("passes") + F.col("more")).cast("long"))
-    return materialize(out.select("row", "id", "source", "size", "source_size", "target", "taken", "h", "block"), "mixed")
+    return materialize(out.select("row", "id", "source", "size", "source_size", "target", "taken", "h", "block", *key), "mixed")
 
 
 def shards(mixed: DataFrame, count: int = SHARDS, seed: int = 17) -> DataFrame:
@@ -148,13 +152,13 @@ def shards(mixed: DataFrame, count: int = SHARDS, seed: int = 17) -> DataFrame:
 
 
 def copies(mixed: DataFrame, count: int = SHARDS, seed: int = 17) -> DataFrame:
-    """(row, id, source, copy, words, shard, place, h): every copy that is taken, its shard and its place's hash there."""
+    """(row, id, source, copy, words, shard, place, h[, key]): every copy that is taken, its shard and its place's hash there."""
     runs = small(shards(mixed, count, seed))
     n = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     each = mixed.where(n > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1)))
     each = each.withColumn("words", F.least("size", F.col("taken") - F.col("copy") * F.col("size"))).withColumn("at", F.col("copy") * BLOCKS + F.col("block"))
     to = each["source"].eqNullSafe(runs["source"]) & (each["at"] >= runs["first"]) & (each["at"] < runs["last"])
-    return each.join(runs, to).select("row", "id", each["source"], "copy", "words", "shard", F.xxhash64(F.lit(seed + 1), "h", "copy").alias("place"), "h")
+    return each.join(runs, to).select("row", "id", each["source"], "copy", "words", "shard", F.xxhash64(F.lit(seed + 1), "h", "copy").alias("place"), "h", *(c for c in ("key",) if c in mixed.columns))
 
 
 def dealt(mixed: DataFrame, count: int = SHARDS, seed: int = 17) -> DataFrame:
