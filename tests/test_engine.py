@@ -160,6 +160,30 @@ def test_transcripts(spark, tmp_path):
     assert [s["saving_share"], s["hook_share"]] == [pytest.approx((before - after) * 1.9 / 330)] * 2
 
 
+def test_lines_of_split_files(spark, tmp_path):
+    lines = [b"line %d \xc3\xa9" % i * (i % 7) for i in range(4000)]
+    lines[5], lines[9] = b"\xff\xfe\r", b"carriage\rreturn"
+    (tmp_path / "a.jsonl").write_bytes(b"\n".join(lines) + b"\n")
+    (tmp_path / "b.jsonl").write_bytes(b"\n\nlast")
+    (tmp_path / "c.jsonl").write_bytes(b"")
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        df = sources.read_lines(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 1
+        got = {(r["path"].rsplit("/", 1)[-1], r["line_no"]): bytes(r["line"]) for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    assert got == {("a.jsonl", i): x for i, x in enumerate(lines)} | {("b.jsonl", 0): b"", ("b.jsonl", 1): b"", ("b.jsonl", 2): b"last"}
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "e.jsonl").write_bytes(b"x")
+    found = sources.walk(f"file://{tmp_path}", spark=spark)
+    assert [f.rsplit("/", 1)[-1] for f in found.files] == ["a.jsonl", "b.jsonl", "c.jsonl", "e.jsonl"] and found.skipped == 0
+    assert sources.walk(f"file://{tmp_path}/a.jsonl", spark=spark).files == [f"file://{tmp_path}/a.jsonl"]
+    with pytest.raises(OSError):
+        sources.walk(f"file://{tmp_path}/none", spark=spark)
+
+
 def test_protocol_json():
     assert protocol.loads('{"a":[1,2.0,"\\ud83d\\ude00",null,true,{}]}') == {"a": [1, 2.0, "😀", None, True, {}]}
     assert isinstance(protocol.loads("9223372036854775808"), float)
