@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import zlib
 
 import pandas as pd
 import pyarrow as pa
@@ -20,7 +19,7 @@ def _ask(seed: int):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows += [(doc, q["id"], q["kind"], q["text"], q["answer"]) for q in Q.questions(str(doc), text or "", seed ^ zlib.crc32(str(doc).encode()))]
+                    rows += [(doc, q["id"], q["kind"], q["text"], q["answer"]) for q in Q.questions(str(doc), text or "", seed)]
                 except ValueError:
                     continue
             kinds = [batch.schema.field(0).type, *[pa.string()] * 4]
@@ -30,7 +29,7 @@ def _ask(seed: int):
 
 
 def make_questions(docs: DataFrame, key: str, text: str, seed: int = 1) -> DataFrame:
-    """(doc, qid, kind, question, answer) of every document that holds a list; each document has a seed of its own."""
+    """(doc, qid, kind, question, answer) of every document that holds a list; choices are keyed by the seed and the document's key."""
     rows = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(_ask(seed), f"doc {rows.schema['doc'].dataType.simpleString()}, qid string, kind string, question string, answer string")
 

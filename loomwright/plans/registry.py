@@ -179,7 +179,15 @@ def base64_props(spark, sf_dir):
     return e.select("event_id", "b64", (L.base64_strict(F.col("b64")) == F.col("props").cast("binary")).alias("same"))
 
 
-@_query()
+_LINE = "'{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\",\"value\":' || value || '}'"
+_RECORD = "'+[' || event_id || ',\"' || event_type || '\",' || value || ']' || chr(10)"
+
+
+@_query(
+    "SELECT user_id, CASE WHEN won THEN 4 ELSE 0 END AS encoder, strlen(content) AS bytes_before, strlen(CASE WHEN won THEN rendering ELSE content END) AS bytes_after, CASE WHEN won THEN a ELSE b END AS tokens_after FROM "
+    f"(SELECT *, n > 1 AND a < b AS won FROM (SELECT *, {_tokens('content')} AS b, {_tokens('rendering')} AS a FROM (SELECT user_id, count(*) AS n, string_agg({_LINE}, chr(10) ORDER BY event_id) AS content, "
+    f"'#tkfd1 jsonl' || chr(10) || chr(10) || '#' || count(*) || '[\"event_id\",\"event_type\",\"value\"]' || chr(10) || string_agg({_RECORD}, '' ORDER BY event_id) AS rendering FROM events GROUP BY user_id)))"
+)
 def jsonl_events_by_user(spark, sf_dir):
     """Each user's events as JSON Lines, re-encoded as records."""
     e = _table(spark, sf_dir, "events")
@@ -462,7 +470,33 @@ def comprehension_count_conjunction(spark, sf_dir):
     return comprehension.list_count_conjunction(_table(spark, sf_dir, "lineitem"), "l_orderkey", F.col("l_returnflag") == "R", F.col("l_linestatus") == "F")
 
 
-@_query()
+def _keyed(purpose: str, n: str) -> str:
+    """The options' hashes, in order."""
+    return f"list_transform(range({n}), lambda i: md5(h || '{purpose}|' || i))"
+
+
+def _chosen(purpose: str, n: str) -> str:
+    """The place, from 1, of the option with the smallest hash."""
+    return f"list_position({_keyed(purpose, n)}, list_min({_keyed(purpose, n)}))"
+
+
+_LISTS = (
+    "(SELECT *, list_filter([1, 2, 3], lambda k: len(list_distinct(cols[k])) > 1 AND 2 * len(list_distinct(cols[k])) <= n) AS g FROM (SELECT o_custkey AS doc, count(*) AS n, '1:' || o_custkey || '|' AS h, ['o_orderstatus', 'o_orderpriority', 'o_date'] AS names, "
+    f"list(o_orderkey::varchar ORDER BY o_orderkey) AS keys, [list(o_orderstatus ORDER BY o_orderkey), list(o_orderpriority ORDER BY o_orderkey), list({_DAY} ORDER BY o_orderkey)] AS cols FROM orders GROUP BY o_custkey HAVING count(*) >= 6))"
+)
+_EQUAL = "names[{c}] || ' = \"' || cols[{c}][{e}] || '\"'"
+
+
+@_query(
+    "SELECT doc, doc || 'Q1' AS qid, 'count' AS kind, 'Count the entries of the document.' AS question, n::varchar AS answer FROM " + _LISTS + " UNION ALL "
+    "SELECT doc, doc || 'Q2', 'lookup', 'Find the entry of the document with o_orderkey = ' || keys[e] || ' and give its ' || names[c] || '.', cols[c][e] FROM "
+    f"(SELECT *, {_chosen('entry', 'n')} AS e, {_chosen('field', '3')} AS c FROM {_LISTS}) UNION ALL "
+    f"SELECT doc, doc || 'Q3', 'count_by_value', 'Count the entries of the document with ' || {_EQUAL.format(c='c', e='e')} || '.', len(list_filter(cols[c], lambda x: x = cols[c][e]))::varchar FROM "
+    f"(SELECT *, {_chosen('value', 'n')} AS e, g[{_chosen('group', 'len(g)')}] AS c FROM {_LISTS} WHERE len(g) > 0) UNION ALL "
+    f"SELECT doc, doc || 'Q4', 'count_conjunction', 'Count the entries of the document with ' || {_EQUAL.format(c='c', e='e')} || ' and ' || {_EQUAL.format(c='d', e='e')} || ' at once.', "
+    "len(list_filter(range(1, n + 1), lambda k: cols[c][k] = cols[c][e] AND cols[d][k] = cols[d][e]))::varchar FROM (SELECT *, g[two[1]] AS c, g[two[2]] AS d FROM (SELECT *, "
+    f"{_chosen('both', 'n')} AS e, list_sort(list_transform(list_sort({_keyed('pair', 'len(g)')})[1:2], lambda x: list_position({_keyed('pair', 'len(g)')}, x))) AS two FROM {_LISTS} WHERE len(g) > 1))"
+)
 def comprehension_questions(spark, sf_dir):
     return comprehension.make_questions(_order_documents(spark, sf_dir), "o_custkey", "content")
 
