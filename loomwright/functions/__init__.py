@@ -120,6 +120,25 @@ def protected_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(price.RULES)], "ord int, class string, literal string, case_sensitive boolean")
 
 
+# The names of encoder ids in reports and in protocol messages, and those of price ids.
+ENCODER_NAMES = {"report": ("passthrough", "e1-minify", "e2-tabular", "e3-refs", "e4-jsonl", "e5-grid"), "message": ("passthrough", "minify", "tabular", "refs", "jsonl", "grid")}
+PRICE_NAMES = ("heuristic", "byte-length", "cl100k-base", "o200k-base", "hugging-face")
+
+
+def _named(number: Column, names: tuple[str, ...]) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in enumerate(names) for x in pair])
+    return F.when(number.isNotNull(), F.coalesce(F.try_element_at(known, number.cast("int")), F.lit("unknown")))
+
+
+def encoder_name(number: Column, use: str = "report") -> Column:
+    """The name of an encoder's id; `unknown` for ids of later builds."""
+    return _named(number, ENCODER_NAMES[use])
+
+
+def price_name(number: Column) -> Column:
+    return _named(number, PRICE_NAMES)
+
+
 def minify_plain(c: Column) -> Column:
     """White space outside strings removed, for valid JSON; strings stay as written."""
     return F.array_join(F.regexp_extract_all(c, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\s"]++'), F.lit(0)), "")

@@ -176,3 +176,22 @@ def summary_markdown(cells: list, pairs: list) -> str:
     lines += ["", "| model | both | only first | only second | neither | p |", "|---|---|---|---|---|---|"]
     lines += [f"| {r['model']} | {r['both']} | {r['only_first']} | {r['only_second']} | {r['neither']} | {r['p']:.4f} |" for r in pairs]
     return "\n".join(lines) + "\n"
+
+
+def write_run(path: str, docs: DataFrame, questions: DataFrame, calls: DataFrame, grades: DataFrame) -> str:
+    """A run as Parquet tables in a folder (inputs, questions, calls, grades, summary, pairs); its summary for a reader.
+
+    The summary's tables have a row a model, rendering and kind, so they are small whatever the run.
+    """
+    for name, df in {"inputs": docs, "questions": questions, "calls": calls, "grades": grades}.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    read = docs.sparkSession.read.parquet
+    done = read(f"{path}/grades")
+    cells = accuracy(done)
+    cells.write.mode("overwrite").parquet(f"{path}/summary")
+    renderings = [r["rendering"] for r in done.select("rendering").distinct().orderBy("rendering").limit(3).collect()]
+    pairs = []
+    if len(renderings) == 2:
+        paired(done, *renderings).write.mode("overwrite").parquet(f"{path}/pairs")
+        pairs = read(f"{path}/pairs").orderBy("model").collect()
+    return summary_markdown(read(f"{path}/summary").orderBy("model", "rendering", "kind").collect(), pairs)

@@ -269,6 +269,19 @@ def legend_entries_lineitem(spark, sf_dir):
     return made.select("l_returnflag", "l_linestatus", F.posexplode("legend").alias("place", "e")).select("l_returnflag", "l_linestatus", "place", "e.*")
 
 
+_ID = "(event_id % 8 - 1)"
+
+
+def _case(names: tuple[str, ...]) -> str:
+    return f"CASE {_ID} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " ELSE 'unknown' END"
+
+
+@_query(f"SELECT event_id, {_case(L.ENCODER_NAMES['report'])} AS encoder, {_case(L.ENCODER_NAMES['message'])} AS said, {_case(L.PRICE_NAMES)} AS price FROM events")
+def names_of_ids(spark, sf_dir):
+    number = F.col("event_id") % 8 - 1
+    return _table(spark, sf_dir, "events").select("event_id", L.encoder_name(number).alias("encoder"), L.encoder_name(number, "message").alias("said"), L.price_name(number).alias("price"))
+
+
 # --- nested and irregular documents, written out by SQL ---
 
 _DAY = "o_orderdate::date::varchar"

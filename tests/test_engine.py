@@ -247,7 +247,7 @@ def test_message_stream(spark, tmp_path):
     assert got == {("a", 1): False, ("a", 2): True, ("b", 1): False}
 
 
-def test_comprehension(spark):
+def test_comprehension(spark, tmp_path):
     docs = comprehension.generate(7, 8)
     assert docs == comprehension.generate(7, 8) and {t for _, t, _ in docs} == set(comprehension.FAMILIES)
     df = spark.createDataFrame([(d, t) for d, _, t in docs], "doc string, text string")
@@ -264,6 +264,9 @@ def test_comprehension(spark):
     pair = comprehension.paired(graded, "input", "grid").first()
     assert (pair["both"], pair["only_first"], pair["only_second"], pair["neither"]) == (8, 0, len(rows) - 8, 0)
     assert pair["p"] == pytest.approx(questions.sign_test(0, len(rows) - 8), rel=1e-9)
+    said = comprehension.write_run(str(tmp_path), df, asked, spark.createDataFrame(replies, "doc string, model string, rendering string, repeat int, reply string"), graded)
+    assert f"| m | grid | all | {len(rows)} | {len(rows)} | 100.0 % |" in said and f"| m | 8 | {len(rows) - 8} | 0 | 0 |" in said
+    assert spark.read.parquet(f"{tmp_path}/calls").count() == len(replies) and spark.read.parquet(f"{tmp_path}/questions").count() == len(rows)
     assert comprehension.plan_calls(df.select("doc"), ["a", "b"], ["x"], 2).count() == 32
     assert comprehension.plan_calls(df.select("doc"), ["a", "b"], ["x"], 2, cap=32).count() == 32
     for cap in (31, 0, 201):
