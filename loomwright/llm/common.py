@@ -6,9 +6,11 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,14 +30,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: The paths that new_path gave, in order.
+PATHS: list[str] = []
+
+
+def _store(spark: SparkSession, path: str):
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that is not used yet; what is written there goes when the application ends."""
     path = f"{shared_dir(spark)}/lw-{name}-{uuid.uuid4().hex}"
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    there, store = _store(spark, path)
+    store.deleteOnExit(there)
+    PATHS.append(path)
     return path
 
 
+def remove(spark: SparkSession, paths: list[str], unless_read_by: DataFrame) -> list[str]:
+    """Delete tables that nothing needs any more; those that the plan of a frame still reads are kept and returned."""
+    files = unless_read_by.inputFiles()
+    kept = []
+    for path in paths:
+        if any(path.rsplit("/", 1)[-1] in f for f in files):
+            kept.append(path)
+        else:
+            there, store = _store(spark, path)
+            store.delete(there, True)
+    return kept
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -49,7 +74,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 2 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 1 << 20) -> None:
     """Hold Arrow batches of this session to ``rows`` and, but for a single long row, ``size`` bytes: each batch is in memory twice."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = int(spark.conf.get(key, None) or 0)
@@ -62,18 +87,48 @@ HELD: dict[str, Callable[[], None]] = {}
 _owner: list[str] = []
 
 
+#: Seconds after which a worker without a task lets go of what an operator holds.
+IDLE = 0.7
+_waiting: list[threading.Timer] = []
+
+
+def _shrink() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library can, freed pages go back to the system
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lets_go(owner: str) -> None:
+    """To be called where a task of an operator ends, if what it holds is large: it goes unless a task follows at once."""
+
+    def release() -> None:
+        HELD[owner]()
+        _owner.clear()
+        _shrink()
+
+    _waiting.append(threading.Timer(IDLE, release))
+    _waiting[-1].daemon = True
+    _waiting[-1].start()
+
+
 def takes_over(owner: str) -> None:
     """To be called by Python code on a worker: lets go of what other operators' code left there, as workers outlive stages."""
+    while _waiting:
+        _waiting.pop().cancel()
     if _owner == [owner]:
         return
     _owner[:] = [owner]
     for name, let_go in HELD.items():
         if name != owner:
             let_go()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(AttributeError, OSError):  # where the C library can, freed pages go back to the system
-        ctypes.CDLL(None).malloc_trim(0)
+    _shrink()
+
+
+def lists(x: pa.Array) -> list[np.ndarray]:
+    """The items of a column of lists, without copies."""
+    values, at = x.values.to_numpy(zero_copy_only=False), x.offsets.to_numpy().tolist()
+    return [values[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 def shuffle_width(spark: SparkSession) -> int:

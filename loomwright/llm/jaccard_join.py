@@ -20,14 +20,13 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType
 
-from .common import materialize, small, small_batches, takes_over
+from .common import lists, materialize, small, small_batches, takes_over
 from .cover import MARGIN, Metric, links
 
 SHINGLE = 5
@@ -87,19 +86,20 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 def _sign(batches):
     takes_over("jaccard_join")
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for at in range(0, len(ids), 256):
-            rows = []
-            for i, text in zip(ids[at : at + 256], texts.slice(at, 256).to_pylist(), strict=True):
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            place, rows = [], []
+            for n, (i, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
                 if words := words_of(text):
                     digest = xxhash.xxh3_128_digest(" ".join(words))
+                    place.append(n)
                     rows.append((i, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), signature(words)))
             if rows:
                 sig = np.array([r[3] for r in rows])
                 keys = band_keys(sig)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))],
-                    names=["id", "d1", "d2", "sig", "keys"],
+                    [*(pa.array([r[c] for r in rows], pa.int64()) for c in range(3)), pa.array([s.tobytes() for s in sig], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(keys.ravel())), *(c.take(pa.array(place)) for c in part.columns[2:])],
+                    names=["id", "d1", "d2", "sig", "keys", *batch.schema.names[2:]],
                 )
 
 
@@ -133,24 +133,24 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def fingerprint_sets(text: pd.Series) -> pd.Series:
-    return pd.Series([np.unique(fingerprints(words_of(t))).view(np.int64) for t in text])
+@F.arrow_udf(ArrayType(LongType()))
+def fingerprint_sets(text: pa.Array) -> pa.Array:
+    return pa.array([np.unique(fingerprints(words_of(t))).view(np.int64) for t in text.to_pylist()], pa.list_(pa.int64()))
 
 
-@F.pandas_udf(DoubleType())
-def jaccard_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([1 - similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+@F.arrow_udf(DoubleType())
+def jaccard_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([1 - similarity(x, y) for x, y in zip(lists(a), lists(b), strict=True)], pa.float64())
 
 
-@F.pandas_udf(DoubleType())
-def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+@F.arrow_udf(DoubleType())
+def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([similarity(x, y) for x, y in zip(lists(a), lists(b), strict=True)], pa.float64())
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def keys_of(prints: pd.Series) -> pd.Series:
-    return pd.Series([band_keys(minhash(p.astype(np.int64).view(np.uint64))[None])[0] for p in prints])
+@F.arrow_udf(ArrayType(LongType()))
+def keys_of(prints: pa.Array) -> pa.Array:
+    return pa.array([band_keys(minhash(p.view(np.uint64))[None])[0] for p in lists(prints)], pa.list_(pa.int64()))
 
 
 def undecided(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -231,22 +231,24 @@ def majority(rest: DataFrame) -> DataFrame:
 
 
 def pruner(tolerance: float):
-    @F.pandas_udf(BooleanType())
-    def keep(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([x is None or y is None or may_reach(x, y, z, tolerance) for x, y, z in zip(a, b, t, strict=True)], dtype=bool)
+    @F.arrow_udf(BooleanType())
+    def keep(a: pa.Array, b: pa.Array, t: pa.Array) -> pa.Array:
+        return pa.array([x is None or y is None or may_reach(x, y, z, tolerance) for x, y, z in zip(a.to_pylist(), b.to_pylist(), t.to_pylist(), strict=True)], pa.bool_())
 
     return keep
 
 
-def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, tolerance: float = 1e-4, votes: int = 4) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies) of every distinct id.
+def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, tolerance: float = 1e-4, votes: int = 4, marks: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *marks, class_id, n_links, n_copies) of every row with an id and a word, repeated rows once.
 
-    n_links: other documents with similarity >= threshold, copies included; class_id: the smallest
-    doc_id reachable by links; n_copies: documents with the same words, itself included.
+    ``marks`` are long columns that tell rows of one id apart, such as hashes of their texts.
     """
     small_batches(df.sparkSession)
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    signed = materialize(base.mapInArrow(_sign, "id long, d1 long, d2 long, sig binary, keys array<long>"), "signatures")
+    named_marks = [F.col(c).cast("long").alias(f"mark_{i}") for i, c in enumerate(marks)]
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *named_marks).where("id is not null")
+    own = [f"mark_{i}" for i in range(len(marks))]
+    signed = materialize(base.mapInArrow(_sign, "id long, d1 long, d2 long, sig binary, keys array<long>" + "".join(f", {c} long" for c in own)), "signatures")
+    base = base.select("id", "text")
     # a class is named by a number of its own, not by a part of its digest
     classes = signed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("weight"))
     classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
@@ -274,16 +276,25 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = named.groupBy("component").agg(F.min("rep").alias("class_id"))
     named = named.join(names, "component").select(F.col("id").alias("class"), "n_links", "class_id")
     by_class = classes.join(named, "class", "left").select("d1", "d2", "weight", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    member = signed.select("id", "d1", "d2").distinct().join(by_class, ["d1", "d2"])
-    each = member.groupBy("id").agg(F.min(F.struct("class_id", "n_links", "weight")).alias("x"))
-    out = base.select("id").distinct().join(each, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("x.class_id", "id").alias("class_id"), F.coalesce("x.n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("x.weight", F.lit(1)).cast("long").alias("n_copies"))
+    member = signed.select("id", "d1", "d2", *own).distinct().join(by_class, ["d1", "d2"])
+    return member.select("id", *[F.col(f"mark_{i}").alias(c) for i, c in enumerate(marks)], "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("weight").cast("long").alias("n_copies"))
+
+
+def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, tolerance: float = 1e-4, votes: int = 4) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies) of every distinct id.
+
+    n_links: other documents with similarity >= threshold, copies included; class_id: the smallest
+    doc_id reachable by links; n_copies: documents with the same words, itself included.
+    """
+    each = near_texts(df, id_col, text_col, threshold, tolerance, votes).groupBy("id").agg(F.min(F.struct("class_id", "n_links", "n_copies")).alias("x"))
+    ids = df.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
+    return ids.join(each, "id", "left").select(F.col("id").alias(id_col), F.coalesce("x.class_id", "id").alias("class_id"), F.coalesce("x.n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("x.n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
-@F.pandas_udf(BooleanType())
-def same_words(text: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+@F.arrow_udf(BooleanType())
+def same_words(text: pa.Array, d1: pa.Array, d2: pa.Array) -> pa.Array:
     def digest(t: str) -> tuple[int, int]:
         x = xxhash.xxh3_128_digest(" ".join(words_of(t)))
         return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
 
-    return pd.Series([t is not None and digest(t) == (a, b) for t, a, b in zip(text, d1, d2, strict=True)], dtype=bool)
+    return pa.array([t is not None and digest(t) == (a, b) for t, a, b in zip(text.to_pylist(), d1.to_pylist(), d2.to_pylist(), strict=True)], pa.bool_())
