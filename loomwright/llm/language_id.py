@@ -105,7 +105,7 @@ def fit(x: np.ndarray, y: list[str], steps: int = 300, decay: float = 1e-5) -> M
     which = np.array([langs.index(v) for v in y])
     weight = 1 / (k * np.bincount(which, minlength=k)[which])
     target = code[which].astype(np.float32)
-    x = x.astype(np.float32)
+    x = x.astype(np.float32, copy=False)
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     if k > 1:
         lw, lb, rate = w, b, np.float32(8.0)
@@ -124,8 +124,9 @@ def _featurise(batches):
     takes_over("language_id")
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
-            rows = [(lang, features(text)) for text, lang in zip(batch.column(0).slice(at, 128).to_pylist(), batch.column(1).slice(at, 128).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].astype(np.float16).tobytes() for r in rows], pa.binary())], names=["lang", "x"])
+            part = batch.slice(at, 128)
+            x = [features(t).astype(np.float16).tobytes() for t in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(x, pa.binary())], names=["lang", "h", "x"])
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, rows: int = 51_200) -> Model | None:
@@ -143,10 +144,20 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     bounds = spark.createDataFrame([(r["lang"], 2**64 * min(want, r["count"]) // r["count"] - 2**63 - 1) for r in counts], "lang string, bound long")
     hashed = told.withColumn("h", F.xxhash64(F.lit(3), "id", "text", "lang")).join(small(bounds), "lang").where("h <= bound")
     once = hashed.where(F.col("text").rlike(r"\p{L}")).groupBy("lang", "h").agg(F.first("text").alias("text"))
-    got = sorted((r["lang"], bytes(r["x"])) for r in once.select("text", "lang").mapInArrow(_featurise, "lang string, x binary").limit(2 * rows).collect())
-    if not got:
+    got = once.select("text", "lang", "h").mapInArrow(_featurise, "lang string, h long, x binary").limit(2 * rows).toArrow()
+    if not got.num_rows:
         return None
-    return fit(np.array([np.frombuffer(x, np.float16) for _, x in got], dtype=np.float32), [lang for lang, _ in got])
+    langs, hashes = got["lang"].to_pylist(), got["h"].to_numpy()
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], hashes[i]))
+    # the matrix is the largest thing on the driver: it is filled in place, row by row
+    x, to = np.empty((len(langs), DIM), np.float32), np.argsort(order)
+    at = 0
+    for chunk in got["x"].chunks:
+        for row in chunk:
+            x[to[at]] = np.frombuffer(row.as_buffer(), np.float16)
+            at += 1
+    del got
+    return fit(x, [langs[i] for i in order])
 
 
 def _predictor(model: Model | None, closeness: float, with_text: bool):
