@@ -126,3 +126,34 @@ def test_minhash_estimates_similarity():
     other = words[:300] + [w + "x" for w in words[300:]]
     equal = (J.signature(words) == J.signature(other)).mean()
     assert equal == pytest.approx(jaccard(" ".join(words), " ".join(other)), abs=0.12)
+
+
+def test_pairs_just_above_the_threshold_are_found(spark):
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    n, dim = 500, 64
+    a = unit(rng.standard_normal((n, dim)))
+    aside = rng.standard_normal((n, dim))
+    aside = unit(aside - (aside * a).sum(axis=1, keepdims=True) * a)
+    cos = rng.uniform(0.9, 0.92, n)[:, None]
+    b = cos * a + np.sqrt(1 - cos**2) * aside
+    rows = [(2 * i, a[i].tolist()) for i in range(n)] + [(2 * i + 1, b[i].tolist()) for i in range(n)]
+    got = {r["vec_id"]: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    every = np.vstack([a, b])
+    near = every @ every.T >= 0.9
+    found = sum(got[2 * i + 1]["component_id"] == 2 * i for i in range(n))
+    assert found >= 0.96 * n
+    assert sum(r["n_links"] for r in got.values()) <= near.sum() - 2 * n  # none below the threshold
+
+
+def test_hashing_grows_slower_than_its_pairs():
+    from loomwright.llm.embedding_dedup import collision, hashing
+
+    last = None
+    for n in (16, 1000, 10**5, 10**7, 10**9):
+        tables, hashes, width = hashing(n, 0.9, 0.985, 0.25)
+        assert n * collision(math.sqrt(2), width) ** hashes <= 0.2501
+        assert 1 - (1 - collision(math.sqrt(0.2), width) ** hashes) ** tables >= 0.985
+        if last:
+            assert tables / last[1] <= (n / last[0]) ** 0.35
+        last = n, tables

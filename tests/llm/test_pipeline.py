@@ -114,3 +114,35 @@ def test_mixing_writes_shuffled_shards(spark, docs_dir, tmp_path):
     got = [[(i, len(t.split())) for i, t in zip(x["doc_id"].to_pylist(), x["text"].to_pylist(), strict=True)] for x in map(pq.read_table, files)]
     assert [x for x in got if x] == want and len(want) > 32
     assert any(x != sorted(x) for x in want)
+
+
+def test_stages_with_odd_rows(spark):
+    """Repeated rows, ids that repeat or are null, null columns, columns with clashing names, a very long text, an empty table."""
+    import random
+
+    rng = random.Random(9)
+    prose = lambda k: " ".join(rng.choice("the and of to in that with for on is was by".split()) + str(rng.randint(0, 99)) for _ in range(k))
+    one, two, three = prose(60), prose(60), prose(20_000)
+    rows = [(7, one), (7, one), (7, two), (3, two), (None, one), (None, prose(40)), (1, three), (1, three), (9, None), (10, ""), (11, "12 34"), (None, None), *((100 + i, prose(50)) for i in range(40))]
+    rows = [(i, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else f"s{k % 4}", None, 5, "x", "y") for k, (i, t) in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row int, class_id string, size string"
+    docs = spark.createDataFrame(rows, schema)
+    out = {}
+    for name, stage in P.STAGES:
+        docs = stage(spark, docs, "")
+        assert name == "packing" or tuple(docs.columns) == P.COLUMNS
+        out[name] = docs.collect()
+    assert len(out["language_id"]) == len(rows) - 4 and {r["lang"] for r in out["language_id"]} == {"en"}
+    # one row of each group stays, of the smallest id, an id before none
+    kept = [(r["doc_id"], r["text"]) for r in out["ngram_jaccard_join"]]
+    assert len(kept) == 40 + 4 and {(7, one), (3, two), (1, three)} <= set(kept) and sum(i is None for i, _ in kept) == 1
+    assert sorted(map(str, kept)) == sorted(str((r["doc_id"], r["text"])) for r in out["pii"])
+    length = {r["doc_id"]: 0 for r in out["mixing"]}
+    for r in out["mixing"]:
+        length[r["doc_id"]] += len(r["text"].split())
+    assert sum(length.values()) == pytest.approx(sum(len(t.split()) for _, t in kept), abs=6)
+    pieces = out["packing"]
+    assert {r["doc_id"] for r in pieces} == set(length) and len({(r["sequence_id"], r["offset"]) for r in pieces}) == len(pieces)
+    empty = spark.createDataFrame([], schema)
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, "").collect() == []

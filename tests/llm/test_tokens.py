@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from loomwright.llm import dac, mixing, packing, topk
+from loomwright.llm.common import new_path
 from loomwright.llm.queries import vocabulary
 from loomwright.llm.tokens import Encoder
 
@@ -83,6 +84,49 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+def test_mix_against_a_plain_version(spark):
+    """Targets by bisection on the water level; shards, blocks and words counted one by one."""
+    rng = np.random.default_rng(5)
+    sizes = {s: [int(rng.integers(0, 40)) for _ in range(int(n))] for s, n in zip(["a", "b", "ä", "z", "c", None], [3, 900, 200, 60, 400, 30], strict=True)}
+    rows = [(s, n) for s, all_ in sizes.items() for n in all_]
+    rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    have = np.array([sum(sizes[s]) for s in order], float)
+    weight = np.array([(5, 2, 1)[i % 3] for i in range(len(order))], float)
+    low, high = 0.0, have.sum()
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if np.minimum(3 * have, level * weight).sum() < have.sum() else (low, level)
+    want = np.minimum(3 * have, low * weight)
+    mixed = mixing.mix(df)
+    docs = mixed.collect()
+    total = collections.Counter()
+    for r in docs:
+        assert 0 <= r["taken"] <= 3 * r["size"] and r["size"] == len(rows[r["id"]][1].split())
+        total[r["source"]] += r["taken"]
+    assert [total[s] for s in order] == pytest.approx(want, abs=1)
+    quota = {s: 0 for s in order}
+    for r in docs:
+        if r["taken"]:
+            quota[r["source"]] = max(quota[r["source"]], (r["taken"] - 1) // r["size"] * mixing.BLOCKS + r["block"] + 1)
+    deals = []
+    for seed in (17, 18):
+        runs = mixing.shards(mixed, 8, seed).collect()
+        for s in order:  # the shards' runs of blocks cover a source's quota, each block once
+            mine = sorted((r["first"], r["last"]) for r in runs if r["source"] == s)
+            assert [a for a, _ in mine] == [0, *(b for _, b in mine[:-1])] and mine[-1][1] == quota[s]
+        copies = mixing.copies(mixed, 8, seed).collect()
+        words = collections.Counter()
+        for r in copies:
+            words[r["id"]] += r["words"]
+        assert words == {r["id"]: r["taken"] for r in docs if r["taken"]}
+        per = collections.Counter(r["shard"] for r in copies)
+        assert len(per) == 8 and max(per.values()) < 2 * min(per.values())
+        deals.append({(r["id"], r["copy"]): r["shard"] for r in copies})
+    assert deals[0].keys() == deals[1].keys() and deals[0] != deals[1]
+
+
 @pytest.mark.parametrize("histogram", [{}, {1: 1}, {1023: 5}, {700: 5000, 324: 10}, {512: 7}, {k: 3 for k in range(1, 1024)}, {300: 1001, 5: 3}])
 def test_plan(histogram):
     plan = packing.plan(histogram)
@@ -160,7 +204,7 @@ def test_segment():
 def test_token_files(spark, encoder):
     rows = [(i * 3 % 101, f"text number {i} " * (i % 9), "s") for i in range(101)] + [(200 + i, t, "s") for i, t in enumerate(ODD)] + [(None, "null id", "s"), (5, "again", "s"), (300, "long " * 30_000, "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
-    path = dac.new_path(spark)
+    path = new_path(spark, "dac")
     dac.write(df, path, vocabulary(), per=700, buckets=5)
     got = sorted(dac.documents(spark, path).collect(), key=lambda r: r["start"])
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
@@ -173,7 +217,7 @@ def test_token_files(spark, encoder):
     for place in (0, 1, 500, at - 1):
         assert dac.token_at(spark, path, place) == int.from_bytes(flat[4 * place : 4 * place + 4], "little")
     assert dac.token_at(spark, path, at) is None
-    empty = dac.new_path(spark)
+    empty = new_path(spark, "dac")
     dac.write(df.limit(0), empty, vocabulary())
     assert dac.documents(spark, empty).collect() == []
 
@@ -188,6 +232,12 @@ def test_search_levels():
     scores = (q @ c.T).astype(int)
     assert [[i for _, i in best] for best in got] == [[int(i) for i in np.lexsort((np.arange(len(c)), -s))[:20]] for s in scores]
     assert counts[0] >= counts[1] >= counts[2] and counts[2] < 0.5 * scores.size
+    # with what a first block found as its threshold, the rest is pruned further and nothing is lost
+    half = len(c) // 2
+    first = topk.search(np.arange(10_000, 10_005), q, np.arange(half), c[:half], 20)
+    rest = topk.search(np.arange(10_000, 10_005), q, np.arange(half, len(c)), c[half:], 20, counts, [best[-1][0] for best in first])
+    assert [sorted(((-s, i) for s, i in a + b))[:20] for a, b in zip(first, rest, strict=True)] == [[(-s, i) for s, i in best] for best in got]
+    assert counts[0] < 0.5 * scores.size / 2
 
 
 def test_topk(spark):
@@ -207,6 +257,12 @@ def test_topk(spark):
         want = sorted(((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q])))[:20]
         assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
     assert set(got) == {i for i in whole if i % 20 == 0}
+    # a query's id that is repeated asks once, and none of its rows is its own candidate
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.5]), (2, [0.5, 2.0]), (2, [0.5, 2.0])], "vec_id long, embedding array<double>")
+    found = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.nearest(twice, F.col("vec_id") == 0).collect()]
+    asked = max(topk.quantised(v, 64) for v in ([1.0, 0.0], [0.0, 1.0]))
+    scores = sorted(((-int(topk.components(asked) @ topk.components(topk.quantised(v, 64))), i) for i, v in ((1, [1.0, 0.5]), (2, [0.5, 2.0]), (2, [0.5, 2.0]))))
+    assert sorted(found) == [(0, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
     assert topk.nearest(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
@@ -219,7 +275,7 @@ def test_added_tokens_get_their_ids(spark, encoder):
     assert want[len(ODD)].count(plain.token_to_id("<|endoftext|>")) == 1
     for _ in range(2):
         assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == want
-    path = dac.new_path(spark)
+    path = new_path(spark, "dac")
     dac.write(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), path, vocabulary())
     got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in dac.documents(spark, path).collect()}
     assert got == {i: (len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())) for i, ids in enumerate(want)}
