@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_width, small, small_batches
+from .common import lets_go, shuffle_width, small, small_batches, takes_over
 from .tokens import encoder
 
 MAGIC = b"LWDAC1\0\0"
@@ -116,6 +116,7 @@ _ROWS = "bucket int, place int, before long, n_docs long, n_ids long, data binar
 
 def _encode(path: str, end_id: int, per: int):
     def run(batches):
+        takes_over("tokens")
         enc = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
         bucket, place, before, docs, parts, total, ends = None, 0, 0, [], [], 0, []
@@ -140,6 +141,8 @@ def _encode(path: str, end_id: int, per: int):
                 ends.append(total)
         if docs:
             yield flush()
+        del enc
+        lets_go("tokens")
 
     return run
 
@@ -188,9 +191,3 @@ def token_at(spark: SparkSession, path: str, place: int) -> int | None:
     """The id at a place of the whole file set; only its segment is opened."""
     row = segments(spark, path).where((F.col("start") <= place) & (F.col("start") + F.col("n_ids") > place)).select("start", "data").first()
     return None if row is None else Segment(bytes(row["data"]))[place - row["start"]]
-
-
-def new_path(spark: SparkSession) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/lw-dac-{uuid.uuid4().hex}"

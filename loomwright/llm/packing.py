@@ -20,13 +20,12 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import materialize, running, small, small_batches
+from .common import lets_go, materialize, running, small, small_batches, takes_over
 from .tokens import encoder
 
 WINDOW = 1024
@@ -51,16 +50,17 @@ class Plan:
     sequences: int = 0
 
 
-def combinations(lengths: np.ndarray, window: int, grid: int = 64) -> np.ndarray:
-    """Two or three lengths that fill the window; in threes one is a multiple of ``grid`` (or one that occurs, if few do). Zero: none."""
-    have = set(lengths.tolist())
-    out = {(a, window - a, 0) for a in have if a >= window - a and window - a in have}
-    thirds = [b for b in lengths.tolist() if b % grid == 0] if len(lengths) > 64 else lengths.tolist()
-    for b in thirds:
-        for a in lengths.tolist():
-            if (c := window - a - b) > 0 and c in have:
-                out.add(tuple(sorted((a, b, c), reverse=True)))
-    return np.array(sorted(out), np.int64).reshape(-1, 3)
+def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
+    """All twos and threes of the lengths that fill the window, longest first; zero: none."""
+    have = np.zeros(window + 1, bool)
+    have[lengths] = True
+    a, b = np.meshgrid(lengths, np.append(lengths, 0), indexing="ij")
+    a, b = a.ravel(), b.ravel()
+    c = window - a - b
+    fits = (a >= b) & (b >= c) & (c >= 0)
+    a, b, c = a[fits], b[fits], c[fits]
+    whole = (c == 0) & (b > 0) | have[c] & (c > 0)
+    return np.stack([a[whole], b[whole], c[whole]], axis=1).astype(np.int64)
 
 
 def solve(patterns: np.ndarray, histogram: np.ndarray, steps: int = 400) -> np.ndarray:
@@ -163,6 +163,7 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> Plan:
 
 def _tokenise(path: str, end_id: int, window: int):
     def run(batches):
+        takes_over("tokens")
         enc = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -177,13 +178,16 @@ def _tokenise(path: str, end_id: int, window: int):
                 [ids, pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array([len(x) // 4 for x in tail], pa.int32()), pa.array([zlib.crc32(x) for x in tail], pa.int64()), pa.array(packed, pa.binary())],
                 names=["id", "n", "full", "rem", "rem_crc", "rem_ids"],
             )
+        del enc
+        lets_go("tokens")
 
     return run
 
 
-@F.pandas_udf(LongType())
-def _piece_crc(ids: pd.Series, rem: pd.Series, start: pd.Series, stop: pd.Series) -> pd.Series:
-    return pd.Series([zlib.crc32(np.frombuffer(x, "<u2" if len(x) == 2 * r else "<u4")[a:b].astype("<u4").tobytes()) for x, r, a, b in zip(ids, rem, start, stop, strict=True)], dtype="int64")
+@F.arrow_udf(LongType())
+def _piece_crc(ids: pa.Array, rem: pa.Array, start: pa.Array, stop: pa.Array) -> pa.Array:
+    rows = zip(ids.to_pylist(), rem.to_pylist(), start.to_pylist(), stop.to_pylist(), strict=True)
+    return pa.array([zlib.crc32(np.frombuffer(x, "<u2" if len(x) == 2 * r else "<u4")[a:b].astype("<u4").tobytes()) for x, r, a, b in rows], pa.int64())
 
 
 def pack(df: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,7 +211,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, i
     whole = put.where("to - from = rem").select(*shape(F.col("rem_crc")))
     cut = put.where("to - from < rem").join(coded.select("uid", "rem_ids"), "uid")
     cut = cut.select(*shape(_piece_crc("rem_ids", "rem", "from", "to")))
-    long = coded.where(F.size("full") > 0).select("uid", "id", "n", "full", F.size("full").cast("long").alias("k"), F.lit(0).alias("one"))
-    long = running(long, "one", "uid", "before", "k").select("id", "n", "before", F.posexplode("full").alias("place", "crc"))
+    long = coded.where(F.size("full") > 0).select("uid", "id", "n", "full", F.size("full").cast("long").alias("k"))
+    long = running(long, None, "uid", "before", "k").select("id", "n", "before", F.posexplode("full").alias("place", "crc"))
     long = long.select("id", (F.col("place") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), (F.col("before") + F.col("place") + made.sequences).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return whole.union(cut).union(long).withColumnRenamed("id", id_col)

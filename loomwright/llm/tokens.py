@@ -24,11 +24,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from .common import HELD
+
 KEY = 24
 #: The table has 2 ** SLOTS slots of 31 bytes, of which FULL are filled at most.
-SLOTS, FULL = 20, 600_000
+SLOTS, FULL = 19, 320_000
 #: Bytes of text that are looked at together; a longer text is taken in such parts.
-SPAN = 1 << 22
+SPAN = 1 << 19
 
 _CODES = np.arange(256)
 _LETTER = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
@@ -101,9 +103,8 @@ class Encoder:
             self.words.pre_tokenizer = CharDelimiterSplit("\n")
             if hasattr(self.words.model, "_resize_cache"):
                 self.words.model._resize_cache(1)  # every word comes once: the library's own cache would only be filled
-            vocab = self.tokenizer.get_vocab()
-            self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # each character of a token stands for one byte
-            self.width[list(vocab.values())] = [len(t) for t in vocab]
+            token = self.tokenizer.id_to_token  # each character of a token stands for one byte
+            self.width = np.fromiter((len(token(i) or "") for i in range(self.tokenizer.get_vocab_size())), np.int64)
             self.keys = np.zeros((KEY // 8, 1 << SLOTS), np.uint64)
             self.long = np.zeros(1 << SLOTS, np.uint8)  # bytes of a slot's piece; 0: a free slot
             self.at = np.zeros(1 << SLOTS, np.uint32)
@@ -264,6 +265,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
+
+
+HELD["tokens"] = encoder.cache_clear
