@@ -1,9 +1,12 @@
 """Near copies among embeddings: p-stable Euclidean hashing in several tables, then exact cosines.
 
-Each table hashes a normalised vector by ``hashes`` quantised random projections
-floor((a.x + b) / width). Vectors at cosine 0.9 lie 0.447 apart; with the defaults (16 projections of
-width 2, 96 tables) they share a key with probability 0.985, nearer ones sooner: 0.998 at 0.92. A
-128-bit sign sketch drops chance partners; it errs six standard deviations away from the limit. What is
+Each table hashes a normalised vector by quantised random projections floor((a.x + b) / width). Vectors at
+cosine 0.9 lie 0.447 apart, vectors at random 1.41. The number of projections and their width follow from
+the number of vectors, so that a vector has ``chance`` chance partners in a table on average however many
+there are; the number of tables follows from the recall wanted at exactly the threshold (0.985, nearer
+pairs sooner: 0.998 at 0.92). 10,000 vectors take 17 projections in 73 tables, a billion 34 in 1,670: keys
+grow with the power 1.27 of the vectors, pairs do not grow with their square. A 128-bit sign sketch drops
+chance partners before pairs are made; it errs six standard deviations away from the limit. What is
 left is decided by cosines in double precision, or by the triangle inequality of angles inside balls of
 near copies (see cover.py), so a group of n near copies does not cost n * n rows.
 
@@ -19,18 +22,42 @@ import math
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import materialize, small
+from .common import lists, materialize, small, small_batches, takes_over
 from .cover import Metric, links
 
 WORDS = 2  # 64-bit words of the sketch
 
 
+def collision(apart: float, width: float) -> float:
+    """The chance that vectors so far apart share the cell of one projection."""
+    r = width / apart
+    return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+@lru_cache(maxsize=64)
+def hashing(n: int, threshold: float, recall: float, chance: float) -> tuple[int, int, float]:
+    """(tables, hashes, width) of least work for n vectors."""
+    near, far = math.sqrt(2 - 2 * threshold), math.sqrt(2)
+    best = None
+    for hashes in range(4, 65):
+        low, high = 0.05, 50.0
+        if n * collision(far, low) ** hashes > chance:
+            continue
+        for _ in range(60):  # the widest cells that leave so few chance partners
+            middle = (low + high) / 2
+            low, high = (middle, high) if n * collision(far, middle) ** hashes <= chance else (low, middle)
+        tables = max(1, math.ceil(math.log(1 - recall) / math.log1p(-min(collision(near, low) ** hashes, 1 - 1e-9))))
+        work = tables * (1 + hashes / 200)
+        if best is None or work < best[0]:
+            best = work, tables, hashes, low
+    return best[1:]
+
+
 @lru_cache(maxsize=16)
 def _family(dim: int, tables: int, hashes: int, width: float, seed: int):
     rng = np.random.default_rng([seed, dim])
@@ -66,6 +93,7 @@ def hash_keys(vectors: np.ndarray, tables: int, hashes: int, width: float, seed:
 
 def _hasher(tables: int, hashes: int, width: float, seed: int):
     def run(batches):
+        takes_over("embedding_dedup")
         for batch in batches:
             ids, units = [], {}
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -81,33 +109,35 @@ def _hasher(tables: int, hashes: int, width: float, seed: int):
     return run
 
 
-def _cosines(a: pd.Series, b: pd.Series) -> np.ndarray:
+def _cosines(a: pa.Array, b: pa.Array) -> np.ndarray:
     out = np.empty(len(a))
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        x, y = np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64)
+    for i, (x, y) in enumerate(zip(lists(a), lists(b), strict=True)):
         if len(x) != len(y):
             out[i] = -1.0
             continue
+        x, y = x.astype(np.float64), y.astype(np.float64)
         x, y = x / np.abs(x).max(), y / np.abs(y).max()
         out[i] = (x * y).sum() / math.sqrt((x * x).sum() * (y * y).sum())
     return out
 
 
-@F.pandas_udf(DoubleType())
-def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(_cosines(a, b))
+@F.arrow_udf(DoubleType())
+def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(_cosines(a, b))
 
 
-@F.pandas_udf(DoubleType())
-def angle(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(np.arccos(np.clip(_cosines(a, b), -1, 1)))
+@F.arrow_udf(DoubleType())
+def angle(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(np.arccos(np.clip(_cosines(a, b), -1, 1)))
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, tables: int = 96, hashes: int = 16, width: float = 2.0, votes: int = 6, seed: int = 20240501) -> DataFrame:
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, recall: float = 0.985, chance: float = 0.25, votes: int = 6, seed: int = 20240501) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every distinct id: links are pairs with cosine >= threshold."""
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("feat")).where("id is not null")
     once = base.groupBy("id").agg(F.count("*").alias("n"), F.max("feat").alias("feat")).select("id", "feat")
     once = materialize(once, "vectors")
+    small_batches(df.sparkSession)
+    tables, hashes, width = hashing(max(16, once.count()), threshold, recall, chance)
     schema = "id long, keys array<long>, " + ", ".join(f"s{w} long" for w in range(WORDS))
     hashed = materialize(once.mapInArrow(_hasher(tables, hashes, width, seed), schema), "keys")
     limit = math.acos(threshold)
