@@ -6,6 +6,9 @@ the do-no-harm gate, the choice, statistics and the archive are columns in the J
 
 from __future__ import annotations
 
+import functools
+import gc
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -18,7 +21,7 @@ from .. import functions as L
 from ..kernel import archive, encode, parse
 
 ERROR = "struct<code:string,byte_offset:bigint,size:bigint,depth:bigint,limit:bigint,msg:string>"
-
+_ERROR = [pa.field("code", pa.string()), *[pa.field(x, pa.int64()) for x in ("byte_offset", "size", "depth", "limit")], pa.field("msg", pa.string())]
 
 
 @dataclass(frozen=True)
@@ -37,31 +40,88 @@ class Config:
         return min(max(own, 0), 10_000)
 
 
-def fault(e: parse.Rejected) -> dict:
-    return {"code": e.code, "byte_offset": e.byte_offset, "size": e.size, "depth": e.depth, "limit": e.limit, "msg": e.message}
+def _uncollected(f: Callable) -> Callable:
+    """``f`` on a batch without searches for cycles: a document is very many small objects, none of them in a cycle."""
 
+    @functools.wraps(f)
+    def run(content: pa.Array) -> pa.Array:
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return f(content)
+        finally:
+            if on:
+                gc.enable()
 
-def _analyser(config: Config):
-    profile, max_bytes, max_depth, price = config.profile, config.max_input_bytes, config.max_depth, config.estimator.scalar
-    kind = T.StructType([T.StructField("error", T._parse_datatype_string(ERROR)), T.StructField("records", T.BooleanType()), T.StructField("candidates", T.ArrayType(T.StructType([T.StructField("id", T.IntegerType()), T.StructField("rendering", T.StringType())])))])
+    return run
 
-    @F.pandas_udf(kind)
-    def analyse(content: pd.Series) -> pd.DataFrame:
-        rows = []
-        for c in content:
-            if c is None:
-                rows.append((None, None, None))
-                continue
-            try:
-                doc, records = parse.read(parse.decode(bytes(c), max_bytes), max_depth)
-                rows.append((None, records, [{"id": i, "rendering": r} for i, r in encode.candidates(doc, records, profile, price)]))
-            except parse.Rejected as e:
-                rows.append((fault(e), False, []))
-        return pd.DataFrame(rows, columns=["error", "records", "candidates"])
+
+def _read(content: pa.Array, config: Config):
+    """For each document what was read, with whether it is JSON Lines, or why it is refused; None for a null."""
+    max_bytes, max_depth = config.max_input_bytes, config.max_depth
+    for c in content.to_pylist():
+        if c is None:
+            yield None
+            continue
+        try:
+            yield parse.read(parse.decode(c, max_bytes), max_depth)
+        except parse.Rejected as e:
+            yield e
+
+
+def _errors(found: list[parse.Rejected | None]) -> pa.StructArray:
+    of = lambda name: [None if e is None else getattr(e, name) for e in found]
+    columns = [pa.array(of("message" if f.name == "msg" else f.name), f.type) for f in _ERROR]
+    return pa.StructArray.from_arrays(columns, fields=_ERROR, mask=pa.array([e is None for e in found], pa.bool_()))
+
+
+def _analyser(config: Config):
+    profile, price = config.profile, config.estimator.scalar
+
+    @F.arrow_udf(f"struct<error:{ERROR},records:boolean,candidates:array<struct<id:int,rendering:string>>>")
+    @_uncollected
+    def analyse(content: pa.Array) -> pa.Array:
+        errors, records, ends, ids, renderings = [], [], [], [], []
+        for found in _read(content, config):
+            refused = isinstance(found, parse.Rejected)
+            errors.append(found if refused else None)
+            records.append(None if found is None else False if refused else found[1])
+            ends.append(None if found is None else len(ids))
+            if found is not None and not refused:
+                for i, r in encode.candidates(*found, profile, price):
+                    ids.append(i)
+                    renderings.append(r)
+        items = pa.StructArray.from_arrays([pa.array(ids, pa.int32()), pa.array(renderings, pa.string())], names=["id", "rendering"])
+        lists = pa.ListArray.from_arrays(pa.array([*ends, len(ids)], pa.int32()), items)
+        return pa.StructArray.from_arrays([_errors(errors), pa.array(records, pa.bool_()), lists], names=["error", "records", "candidates"])
 
     return analyse
 
 
+def _renderer(config: Config, encoder: int):
+    profile, price = config.profile, config.estimator.scalar
+
+    @F.arrow_udf("string")
+    @_uncollected
+    def render(content: pa.Array) -> pa.Array:
+        out = []
+        for found in _read(content, config):
+            made = encode.candidates(*found, profile, price, encoder) if isinstance(found, tuple) else ()
+            out.append(made[0][1] if made else None)
+        return pa.array(out, pa.string())
+
+    return render
+
+
+def _validator(config: Config):
+    @F.arrow_udf(ERROR)
+    @_uncollected
+    def check(content: pa.Array) -> pa.Array:
+        return _errors([found if isinstance(found, parse.Rejected) else None for found in _read(content, config)])
+
+    return check
+
+
 def compress(df: DataFrame, content: str, config: Config = Config(), out: str = "artifact") -> DataFrame:
     """Add ``out``: struct(error, rendering, archive, stats). Of a refused document only the error is set; null gives null.
 
@@ -112,8 +172,7 @@ def exact_counts(df: DataFrame, content: str, counter: L.Estimator, artifact: st
 
 def rendering(df: DataFrame, content: str, encoder: int, config: Config = Config("aggressive"), out: str = "rendering") -> DataFrame:
     """Add ``out``: what one encoder makes of each document, whatever it costs; null if it declines or the document is refused."""
-    found = _analyser(config)(F.col(content).cast("binary"))["candidates"]
-    return df.withColumn(out, F.get(F.filter(found, lambda c: c["id"] == encoder), 0)["rendering"])
+    return df.withColumn(out, _renderer(config, encoder)(F.col(content).cast("binary")))
 
 
 def estimate(df: DataFrame, content: str, config: Config = Config(), out: str = "stats") -> DataFrame:
@@ -183,4 +242,4 @@ def shred(df: DataFrame, key: str, content: str, config: Config = Config()) -> D
 
 def validate(content: Column, config: Config = Config()) -> Column:
     """The error of each document, null if it is accepted; guards come before the parser."""
-    return _analyser(Config("conservative", config.max_input_bytes, config.max_depth))(content.cast("binary"))["error"]
+    return _validator(config)(content.cast("binary"))

@@ -215,3 +215,24 @@ def test_nodes():
         ("String", 32, 39, 1, None),
         ("ArrayEnd", 39, 40, 0, None),
     ]
+
+
+def test_one_encoder_without_a_tree():
+    doc = parse.parse('[ {"a" : "\\u0041", "b":[ 1 , 2 ]} ,\n{"a" : "x y", "b":[ ]} ]')
+    all_ = dict(encode.candidates(doc, False, "aggressive", price.heuristic))
+    doc = parse.parse(doc.text)
+    assert encode.candidates(doc, False, "aggressive", None, encode.IDS["min"]) == [(1, '#tkfd1 min\n[{"a":"A","b":[1,2]},{"a":"x y","b":[]}]')]
+    assert "root" not in vars(doc) and "tokens" not in vars(doc)
+    assert {i: dict(encode.candidates(doc, False, "aggressive", price.heuristic, i)).get(i) for i in all_} == all_
+    assert encode.candidates(doc, False, "conservative", None, encode.IDS["grid"]) == []
+
+
+@pytest.mark.parametrize("text", ["NaN", "[-Infinity]", "[1,]", '{"a":1,}', " []", "[1]\x0b", "[٣]", '"\x1f"', '"\\u+123"', "[1] 2", "", " "])
+def test_what_the_library_might_take(text):
+    rejected_at(text)
+
+
+def test_what_the_library_does_not_take():
+    text = "[" + "9" * 5000 + ",1e999]"
+    assert parse.parse(text).tokens[1] == "9" * 5000
+    assert encode.minify(parse.parse(f' [ "\\"{{ [" , "  ", {text} ]')) == f'["\\"{{ [","  ",{text}]'
