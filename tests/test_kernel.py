@@ -236,3 +236,21 @@ def test_what_the_library_does_not_take():
     text = "[" + "9" * 5000 + ",1e999]"
     assert parse.parse(text).tokens[1] == "9" * 5000
     assert encode.minify(parse.parse(f' [ "\\"{{ [" , "  ", {text} ]')) == f'["\\"{{ [","  ",{text}]'
+
+
+def test_depth_is_seen_before_the_walk(monkeypatch):
+    monkeypatch.setattr(parse, "_walk", None)
+    for text in ("[" * 600 + "]" * 600, "[ \n" * 600, '{"a[" : ' * 600, '[{"é\\"":' * 300):
+        with pytest.raises(parse.Rejected) as e:
+            parse.parse(text)
+        assert (e.value.code, e.value.depth, e.value.limit, e.value.byte_offset) == ("depth_exceeded", 513, 512, None)
+    parse.parse("[" * 512 + "]" * 512)
+    parse.parse("[" + "[]," * 600 + "[]]")
+
+
+def test_fault_before_the_depth():
+    for text, at in (("[}" + "[" * 600, 1), ('{"a" ' * 600, 5), ("[[1 2]," + "[" * 600, 4), ("[[" + "]]" + "[" * 600, 4)):
+        assert rejected_at(text) == at
+    with pytest.raises(parse.Rejected) as e:
+        parse.parse("[0," + "[" * 512 + "?")
+    assert e.value.code == "depth_exceeded"
