@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..batches import small_batches  # noqa: F401
+
 #: Sides of a join with at most this many rows of a few fixed-width columns may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -74,14 +76,6 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 1 << 20) -> None:
-    """Hold Arrow batches of this session to ``rows`` and, but for a single long row, ``size`` bytes: each batch is in memory twice."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = int(spark.conf.get(key, None) or 0)
-        if not 0 < now <= most:
-            spark.conf.set(key, str(most))
-
-
 #: What Python code of this package holds between tasks of a worker, by its owner: how to let go of it.
 HELD: dict[str, Callable[[], None]] = {}
 _owner: list[str] = []

@@ -1,6 +1,6 @@
 """Document mode: each row holds one JSON document.
 
-A kernel in Python (Arrow batches) parses a document once and gives the candidate renderings; pricing,
+A kernel in Python (Arrow batches of bounded bytes) parses a document once and gives the candidate renderings; pricing,
 the do-no-harm gate, the choice, statistics and the archive are columns in the JVM, without a shuffle.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import functions as L
+from ..batches import small_batches
 from ..kernel import archive, encode, parse
 
 ERROR = "struct<code:string,byte_offset:bigint,size:bigint,depth:bigint,limit:bigint,msg:string>"
@@ -127,6 +128,7 @@ def compress(df: DataFrame, content: str, config: Config = Config(), out: str =
 
     ``content`` is a binary or string column. Equal bytes and config give equal results on any cluster.
     """
+    small_batches(df.sparkSession)
     body = F.col(content).cast("binary")
     price = config.estimator.column
     step = df.withColumn("_analysed", _analyser(config)(body))

@@ -280,6 +280,29 @@ def test_comprehension(spark, tmp_path):
     assert questions.parse_answers('x {"a": 1} y') == {"a": 1.0} and questions.parse_answers("[1]") is None
 
 
+@pytest.fixture
+def wide_batches(spark):
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20)}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield lambda: [int(spark.conf.get(k)) for k in keys]
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_batches_of_bounded_bytes(spark, wide_batches):
+    # a price in Python says how many texts it was given at once
+    @F.pandas_udf("long")
+    def given(texts):
+        return texts.map(lambda _: len(texts))
+
+    df = spark.range(3000, numPartitions=1).select(F.concat(F.lit('["'), F.repeat(F.lit("x"), 20_000), F.lit('"]')).alias("t"))
+    done = compress(df, "t", Config(estimator=L.Estimator("given", 9, given, len)))
+    assert wide_batches()[0] <= 1000 and wide_batches()[1] <= 1 << 20
+    assert done.agg(F.max("artifact.stats.est_tokens_before")).first()[0] <= (1 << 20) // 20_000 + 1
+
+
 @pytest.fixture(scope="module")
 def oracle():
     duckdb = pytest.importorskip("duckdb")
