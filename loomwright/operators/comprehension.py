@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..batches import small_batches
 from ..kernel import questions as Q
 
 
@@ -30,6 +31,7 @@ def _ask(seed: int):
 
 def make_questions(docs: DataFrame, key: str, text: str, seed: int = 1) -> DataFrame:
     """(doc, qid, kind, question, answer) of every document that holds a list; choices are keyed by the seed and the document's key."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(_ask(seed), f"doc {rows.schema['doc'].dataType.simpleString()}, qid string, kind string, question string, answer string")
 

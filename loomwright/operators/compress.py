@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,7 +67,7 @@ def _read(content: pa.Array, config: Config):
         try:
             yield parse.read(parse.decode(c, max_bytes), max_depth)
         except parse.Rejected as e:
-            yield e
+            yield e.with_traceback(None)  # which would hold the text
 
 
 def _errors(found: list[parse.Rejected | None]) -> pa.StructArray:
@@ -76,6 +76,10 @@ def _errors(found: list[parse.Rejected | None]) -> pa.StructArray:
     return pa.StructArray.from_arrays(columns, fields=_ERROR, mask=pa.array([e is None for e in found], pa.bool_()))
 
 
+# The functions on documents are dear. Spark runs one twice, or once a field, where a filter or a select names what it gives;
+# those that may give other results each time are run once, so they are declared as such, though they do not.
+
+
 def _analyser(config: Config):
     profile, price = config.profile, config.estimator.scalar
 
@@ -96,7 +100,7 @@ def _analyser(config: Config):
         lists = pa.ListArray.from_arrays(pa.array([*ends, len(ids)], pa.int32()), items)
         return pa.StructArray.from_arrays([_errors(errors), pa.array(records, pa.bool_()), lists], names=["error", "records", "candidates"])
 
-    return analyse
+    return analyse.asNondeterministic()
 
 
 def _renderer(config: Config, encoder: int):
@@ -174,6 +178,7 @@ def exact_counts(df: DataFrame, content: str, counter: L.Estimator, artifact: st
 
 def rendering(df: DataFrame, content: str, encoder: int, config: Config = Config("aggressive"), out: str = "rendering") -> DataFrame:
     """Add ``out``: what one encoder makes of each document, whatever it costs; null if it declines or the document is refused."""
+    small_batches(df.sparkSession)
     return df.withColumn(out, _renderer(config, encoder)(F.col(content).cast("binary")))
 
 
@@ -204,6 +209,7 @@ def _unpacker():
 
 def decompress(df: DataFrame, blob: str, out: str = "recovered") -> DataFrame:
     """Add ``out``: struct(original, code, byte_offset); fail-closed, original is set only if every check holds."""
+    small_batches(df.sparkSession)
     return df.withColumn(out, _unpacker()(F.col(blob)))
 
 
@@ -237,6 +243,7 @@ def shred(df: DataFrame, key: str, content: str, config: Config = Config()) -> D
     """The node relation of every accepted document: (doc_id, idx, kind, start, end, depth, n, b), byte offsets.
 
     JSON Lines are shredded as the array of their records."""
+    small_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("doc_id"), F.col(content).cast("binary").alias("content"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_shredder(config.max_input_bytes, config.max_depth), f"doc_id {kind}, idx long, kind string, start long, end long, depth long, n long, b boolean")
@@ -244,4 +251,5 @@ def shred(df: DataFrame, key: str, content: str, config: Config = Config()) -> D
 
 def validate(content: Column, config: Config = Config()) -> Column:
     """The error of each document, null if it is accepted; guards come before the parser."""
+    small_batches(SparkSession.active())
     return _validator(config)(content.cast("binary"))

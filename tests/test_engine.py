@@ -10,7 +10,7 @@ from loomwright import functions as L
 from loomwright import plans, sources
 from loomwright.kernel import archive, messages, parse, price, protocol, questions
 from loomwright.operators import Config, compress, comprehension, decompress, grid_text, shred, tables, transcripts
-from loomwright.operators.compress import exact_counts
+from loomwright.operators.compress import exact_counts, rendering, validate
 from loomwright.streaming import rpc
 
 TABLE = "[" + ", ".join(f'{{"id": {i}, "name": "item {i}", "ok": true}}' for i in range(20)) + "]"
@@ -303,6 +303,19 @@ def test_batches_of_bounded_bytes(spark, wide_batches):
     assert done.agg(F.max("artifact.stats.est_tokens_before")).first()[0] <= (1 << 20) // 20_000 + 1
 
 
+@pytest.mark.parametrize("start", [lambda d: rendering(d, "t", 1), lambda d: d.select(validate(F.col("t"))), lambda d: shred(d, "i", "t"), lambda d: decompress(d.select(F.col("t").cast("binary").alias("t")), "t"), lambda d: comprehension.make_questions(d, "i", "t")])
+def test_batches_of_every_reader(spark, wide_batches, start):
+    start(spark.createDataFrame([(1, "[1]")], "i int, t string"))
+    assert wide_batches()[0] <= 1000 and wide_batches()[1] <= 1 << 20
+
+
+def test_refused_documents_are_read_once(spark):
+    df = spark.createDataFrame([(1, "prose"), (2, "[1]"), (3, None)], "i int, t string")
+    errors = compress(df, "t").where(F.col("artifact.error").isNotNull()).select("i", "artifact.error.code", "artifact.error.byte_offset")
+    assert errors._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in errors.collect()] == [(1, "invalid_json", 0)]
+
+
 @pytest.fixture(scope="module")
 def oracle():
     duckdb = pytest.importorskip("duckdb")
