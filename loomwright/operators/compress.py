@@ -115,7 +115,7 @@ def _renderer(config: Config, encoder: int):
             out.append(made[0][1] if made else None)
         return pa.array(out, pa.string())
 
-    return render
+    return render.asNondeterministic()
 
 
 def _validator(config: Config):
@@ -124,7 +124,7 @@ def _validator(config: Config):
     def check(content: pa.Array) -> pa.Array:
         return _errors([found if isinstance(found, parse.Rejected) else None for found in _read(content, config)])
 
-    return check
+    return check.asNondeterministic()
 
 
 def compress(df: DataFrame, content: str, config: Config = Config(), out: str = "artifact") -> DataFrame:

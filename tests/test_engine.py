@@ -316,6 +316,16 @@ def test_refused_documents_are_read_once(spark):
     assert [tuple(r) for r in errors.collect()] == [(1, "invalid_json", 0)]
 
 
+def test_documents_are_rendered_once(spark):
+    df = spark.createDataFrame([(1, '[{"a":1},{"a":2}]'), (2, "[1]"), (3, None), (4, "[")], "i int, t string")
+    found = rendering(df, "t", 5).where("rendering is not null").select("i", "rendering")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in found.collect()] == [(1, "#tkfd1 grid\n\n#2[a]\n+1\n+2\n")]
+    faults = df.select("i", validate(F.col("t")).alias("e")).where("e is not null").select("i", "e.code", "e.byte_offset")
+    assert faults._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in faults.collect()] == [(4, "invalid_json", 1)]
+
+
 @pytest.fixture(scope="module")
 def oracle():
     duckdb = pytest.importorskip("duckdb")
